@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from corvane.llm.bpe_replay import op9_bpe
+from corvane.llm.decontaminate import op10_decontaminate
+from corvane.llm.sst_output import op7_sst_output
 
-QUERIES = {"op9_bpe": op9_bpe}
+QUERIES = {"op7_sst_output": op7_sst_output, "op9_bpe": op9_bpe, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
