@@ -190,6 +190,24 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, *, id_co
     return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
 
+def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, *, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens and ids, and the text decoded from them; null text stays null and has no ids."""
+    names = docs.columns
+    if clash := {"n_tokens", "ids"} & set(names):
+        raise ValueError(f"columns {sorted(clash)} are the operator's own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = replayer(vocabulary, pattern)
+        for b in blocks(batches, text_col):
+            texts = b.column(text_col).to_pylist()
+            ids = bpe.encode([t or "" for t in texts])
+            back = [None if t is None else bpe.decode(x).decode() for t, x in zip(texts, ids, strict=True)]
+            columns = [pa.array(back, pa.string()) if c == text_col else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*names, "n_tokens", "ids"])
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_tokens long, ids binary")
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

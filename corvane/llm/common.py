@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,21 +59,6 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-UNSURE = re.compile(r"\s \s|  ")
-
-
-def pieces(text: str) -> list[str] | None:
-    """Cut text before every space; None where such a cut could fall inside a match of the split pattern.
-
-    A space belongs to the match that follows it unless white space stands on both sides, so cutting
-    before it never splits a match otherwise.
-    """
-    if UNSURE.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-
 #: Odd multipliers of the 64-bit mixers (fixed values).
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -85,3 +70,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * MIX_B
     return x ^ (x >> np.uint64(32))
+
+
+#: Every byte with A-Z lower-cased.
+lowered = np.arange(256, dtype=np.uint8)
+lowered[65:91] += 32
+
+
+def word_bytes(ranges: list[tuple[int, int]]) -> np.ndarray:
+    """By raw byte: whether it, lower-cased, lies in one of the half-open ranges."""
+    inside = np.zeros(256, bool)
+    for a, b in ranges:
+        inside[a:b] = True
+    return inside[lowered]
+
+
+class Words:
+    """The words of a string column, as maximal runs of the given bytes within a row.
+
+    begin and end are bytes of the column's data (raw), hash is of the lower-cased bytes; row n has the
+    words first[n] to first[n + 1] and the bytes offsets[n] to offsets[n + 1]. Null rows have none.
+    """
+
+    def __init__(self, column: pa.Array, letters: np.ndarray):
+        n = len(column)
+        column = column.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and n else np.zeros(0, np.uint8)
+        self.raw, self.offsets = raw, offsets - offsets[0]
+        inside = np.append(letters[raw], False)
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        cut = self.offsets[1:-1]
+        cut = cut[(cut > 0) & (cut < len(raw))]
+        begins[cut] |= inside[cut]
+        ends[cut - 1] |= inside[cut - 1]
+        self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        length = self.end - self.begin
+        if len(length):
+            letters_of = lowered[raw[inside[:-1]]].astype(np.uint64) + np.uint64(1)
+            at = np.cumsum(length) - length
+            power = np.cumprod(np.full(int(length.max()), 0x5851F42D4C957F2D, np.uint64))
+            where = np.arange(len(letters_of)) - np.repeat(at, length)
+            self.hash = mix64(np.add.reduceat(letters_of * power[where], at) + length.astype(np.uint64))
+        else:
+            self.hash = np.zeros(0, np.uint64)
+        self.first = np.searchsorted(self.begin, self.offsets)

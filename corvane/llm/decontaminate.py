@@ -26,46 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe_replay import blocks
-from corvane.llm.common import mix64
+from corvane.llm.common import Words as AnyWords
+from corvane.llm.common import word_bytes
 
 SHARD_BYTES, BENCH_BYTES, SAMPLE = 8 << 20, 8 << 20, 8
 
-_low = np.arange(256, dtype=np.uint8)
-_low[65:91] += 32
-_word = np.zeros(256, bool)
-_word[48:58] = _word[97:123] = _word[128:] = True
-_word = _word[_low]
-
-
-class Words:
-    """The words of a string column: begin and end (bytes of the column's data), hash, and each row's first word."""
-
-    def __init__(self, column: pa.Array):
-        n = len(column)
-        column = column.cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-        data = column.buffers()[2]
-        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and n else np.zeros(0, np.uint8)
-        self.raw, self.offsets = raw, offsets - offsets[0]
-        inside = np.append(_word[raw], False)
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        cut = self.offsets[1:-1]
-        cut = cut[(cut > 0) & (cut < len(raw))]
-        begins[cut] |= inside[cut]
-        ends[cut - 1] |= inside[cut - 1]
-        self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        length = self.end - self.begin
-        if len(length):
-            letters = _low[raw[inside[:-1]]].astype(np.uint64) + np.uint64(1)
-            at = np.cumsum(length) - length
-            power = np.cumprod(np.full(int(length.max()), 0x5851F42D4C957F2D, np.uint64))
-            where = np.arange(len(letters)) - np.repeat(at, length)
-            self.hash = mix64(np.add.reduceat(letters * power[where], at) + length.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
-        self.first = np.searchsorted(self.begin, self.offsets)
+#: Word bytes after lower-casing: digits, a-z and all from 0x80 (fixed values).
+LETTERS = word_bytes([(48, 58), (97, 123), (128, 256)])
+
+
+def Words(column: pa.Array) -> AnyWords:  # noqa: N802
+    return AnyWords(column, LETTERS)
 
 
 class Wavelet:
