@@ -1,0 +1,5 @@
+"""Operators of the knowledge base; importing this package registers their queries."""
+
+from corvane.operators import documents, events, graph, lifecycle, metrics, search
+
+__all__ = ["documents", "events", "graph", "lifecycle", "metrics", "search"]
