@@ -26,6 +26,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+from corvane.llm.common import packed, unpacked
 
 #: Text bytes that one block gathers before its merges are replayed; words kept by a worker at most.
 BLOCK_BYTES, WORDS_KEPT = 6 << 20, 1_200_000
@@ -191,21 +194,19 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, *, id_co
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, *, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens and ids, and the text decoded from them; null text stays null and has no ids."""
-    names = docs.columns
-    if clash := {"n_tokens", "ids"} & set(names):
-        raise ValueError(f"columns {sorted(clash)} are the operator's own")
+    """docs with n_tokens and ids, which replace columns of those names, and the text decoded from them; null text stays null and has no ids."""
+    rows = packed(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = replayer(vocabulary, pattern)
-        for b in blocks(batches, text_col):
-            texts = b.column(text_col).to_pylist()
+        for b in blocks(batches):
+            texts = b.column("text").to_pylist()
             ids = bpe.encode([t or "" for t in texts])
             back = [None if t is None else bpe.decode(x).decode() for t, x in zip(texts, ids, strict=True)]
-            columns = [pa.array(back, pa.string()) if c == text_col else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*names, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(back, pa.string()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "text", "n_tokens", "ids"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_tokens long, ids binary")
+    coded = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())]))
+    return unpacked(coded, docs.columns, text_col, own=("n_tokens", "ids"))
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from corvane.llm.bpe_replay import blocks
 from corvane.llm.common import Words as AnyWords
-from corvane.llm.common import word_bytes
+from corvane.llm.common import packed, unpacked, word_bytes
 
 SHARD_BYTES, BENCH_BYTES, SAMPLE = 8 << 20, 8 << 20, 8
 
@@ -195,23 +196,20 @@ def bench_blocks(benchmark: DataFrame, limit: int = BENCH_BYTES) -> Iterator[lis
         yield block
 
 
-FOUND = "n_words long, hits array<int>, items array<long>"
+FOUND = [StructField("n_words", LongType()), StructField("hits", ArrayType(IntegerType())), StructField("items", ArrayType(LongType()))]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text") -> DataFrame:
-    """docs with n_words, hits (begin and end byte of each maximal run of hit words, alternating) and items."""
-    clash = {"n_words", "hits", "items"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are the operator's own")
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<long>")})
+    """docs with n_words, hits (begin and end byte of each maximal run of hit words, alternating) and items, which replace columns of those names."""
+    docs = docs.drop(*(f.name for f in FOUND))
+    names, schema = docs.columns, StructType([*docs.schema.fields, *FOUND])
+    out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
     some = False
     for block in bench_blocks(benchmark):
         some = True
         sent = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_step(sent, width, names, text_col), f"{kinds}, {FOUND}")
-    return out if some else out.mapInArrow(_step(None, width, names, text_col), f"{kinds}, {FOUND}")
+        out = out.mapInArrow(_step(sent, width, names, text_col), schema)
+    return out if some else out.mapInArrow(_step(None, width, names, text_col), schema)
 
 
 _windows: dict = {}
@@ -256,19 +254,20 @@ def _step(sent, width: int, names: list[str], text_col: str):
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text") -> DataFrame:
     """docs with every hit span cut out of the text; rows without a hit are as they were."""
-    found = find(docs, benchmark, width=width, text_col=text_col)
+    rows = packed(docs, text_col)
+    found = find(rows, benchmark, width=width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text_col).to_pylist()
+            texts = b.column("text").to_pylist()
             for n, h in enumerate(b.column("hits").to_pylist()):
                 if h:
                     raw = texts[n].encode()
                     cuts = [0, *h, len(raw)]
                     texts[n] = b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return unpacked(found.mapInArrow(run, rows.schema), docs.columns, text_col)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:

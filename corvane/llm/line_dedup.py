@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import staged
+from corvane.llm.common import packed, staged, unpacked
 
 MIN_WORDS = 50
 
@@ -61,18 +61,18 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the later repeats, and removed_lines long."""
-    if "removed_lines" in docs.columns:
-        raise ValueError("column removed_lines is the operator's own")
-    found = repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
-    hit = docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text_col]) == found["_th"]), "left")
-    lines = F.split(text_col, "\n")
-    begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["b"] + 1))
-    ends = F.concat(F.transform("_runs", lambda r: r["a"]), F.array(F.size(lines)))
-    kept = F.flatten(F.transform(F.arrays_zip(begins.alias("s"), ends.alias("e")), lambda p: F.slice(F.col("_lines"), p["s"] + 1, p["e"] - p["s"])))
-    out = hit.withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines))
-    removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"] + 1)
-    return out.select(*[F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(removed, F.lit(0)).alias("removed_lines"))
+    """docs without the later repeats, and removed_lines long, which replaces a column of that name."""
+    found = repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words)
+    whole = packed(docs, text_col).withColumns({"key": F.col("row").getField(id_col), "hash": F.xxhash64("text")})
+    hit = whole.join(found, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")), "left")
+    lines = F.split("text", "\n")
+    begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["b"] + 1))
+    ends = F.concat(F.transform("runs", lambda r: r["a"]), F.array(F.size(lines)))
+    kept = F.flatten(F.transform(F.arrays_zip(begins.alias("s"), ends.alias("e")), lambda p: F.slice(F.col("lines"), p["s"] + 1, p["e"] - p["s"])))
+    out = hit.withColumn("lines", F.when(F.col("runs").isNotNull(), lines))
+    removed = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0).cast("long"))
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return unpacked(out.withColumns({"text": text, "removed_lines": removed}), docs.columns, text_col, own=("removed_lines",))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

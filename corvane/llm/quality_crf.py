@@ -11,8 +11,8 @@ identifier): lines take their document's label. Nothing but the text enters a sc
 
 Null and empty texts are one empty line and get a score like any other. Lines and texts are taken whole.
 Repeated rows get equal scores; rows with a null identifier are scored, but never learnt from. Without
-labels of both kinds every score is 0.5. Extra columns are kept by score() unless they clash with the
-operator's own, which is an error. An empty table gives an empty table.
+labels of both kinds every score is 0.5. Extra columns are kept by score(); one named like the score is
+replaced by it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corvane.llm.bpe_replay import blocks
-from corvane.llm.common import Words, mix64, word_bytes
+from corvane.llm.common import Words, mix64, packed, unpacked, word_bytes
 
 THRESHOLD, MAX_DOCS, ROUNDS, FOLDS = 0.3, 3000, 250, 5
 SPACED = word_bytes([(0, 9), (14, 32), (33, 256)])
@@ -196,16 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, rounds:
 
 
 def score(docs: DataFrame, field: Field, *, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """docs with the score; no shuffle."""
-    if score_col in docs.columns:
-        raise ValueError(f"column {score_col} is the operator's own")
-    names = docs.columns
+    """docs with the score, which replaces a column of that name; no shuffle."""
+    rows = packed(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(field.score(b.column(text_col)), pa.float64())], names=[*names, score_col])
+        for b in blocks(batches):
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(field.score(b.column("text")), pa.float64())], names=["row", score_col])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double")
+    scored = rows.mapInArrow(run, StructType([rows.schema["row"], StructField(score_col, DoubleType())]))
+    return unpacked(scored, docs.columns, own=(score_col,))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
