@@ -17,22 +17,31 @@ from corvane.llm.common import staged
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and everything else in one column, so that no name clashes with a stage's own."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def _as_documents(out: DataFrame, before: DataFrame) -> DataFrame:
-    """The columns of documents, with n_chars of the text as it is now."""
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType))
-    return out.select(*before.columns)
+    """The columns of documents again, with the text as it is now, and n_chars of it where it changed."""
+
+    def value(c: str):
+        if c == "n_chars":
+            return F.when(F.col("text").eqNullSafe(F.col("row").getField("text")), F.col("row").getField(c)).otherwise(F.length("text").cast(before.schema[c].dataType))
+        return F.col("text") if c == "text" else F.col("row").getField(c)
+
+    return out.select(*(value(c).alias(c) for c in before.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the field rejects go."""
     field = quality_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_crf.score(docs, field).where(F.col("quality_score") >= quality_crf.THRESHOLD).select(*docs.columns)
+    return _as_documents(quality_crf.score(_packed(docs), field).where(F.col("quality_score") >= quality_crf.THRESHOLD), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: later runs of repeated lines go, and documents that held nothing else."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(_packed(docs))
     emptied = (F.col("removed_lines") > 0) & ~F.col("text").rlike(r"\S")
     return _as_documents(out.where(~F.coalesce(emptied, F.lit(False))), docs)
 
@@ -45,9 +54,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: passages of the benchmark are cut out, and documents that held nothing else go."""
-    marked = docs.withColumn("_had", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
+    marked = _packed(docs).withColumn("had", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
     out = decontaminate.remove(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    emptied = F.col("_had") & ~F.col("text").rlike(r"\S")
+    emptied = F.col("had") & ~F.col("text").rlike(r"\S")
     return _as_documents(out.where(~F.coalesce(emptied, F.lit(False))), docs)
 
 
