@@ -1,5 +1,5 @@
 """Operators of the knowledge base; importing this package registers their queries."""
 
-from corvane.operators import chunks, documents, events, facts, graph, lifecycle, metrics, search
+from corvane.operators import chunks, documents, events, facts, gates, graph, lifecycle, metrics, search
 
-__all__ = ["chunks", "documents", "events", "facts", "graph", "lifecycle", "metrics", "search"]
+__all__ = ["chunks", "documents", "events", "facts", "gates", "graph", "lifecycle", "metrics", "search"]
