@@ -170,10 +170,12 @@ def split_unit(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(((F.count_if(F.col("text").contains("?")) > 1) | (F.count_distinct("role") > 2) | (F.avg(F.length("text")) < 20)).alias("split"))
 
 
-@query("fn_28_relation_allowed", SQL + "SELECT type, CASE WHEN type IN ('references', 'part_of') THEN 'allowed' WHEN starts_with(type, 'x-') THEN 'custom_unregistered' ELSE 'unknown' END AS verdict, count(*) AS n FROM (SELECT CASE WHEN source_id = 'doc-2' THEN 'x-own' ELSE type END AS type FROM edges) GROUP BY ALL")
+@query("fn_28_relation_allowed", SQL + "SELECT type, CASE WHEN type IN ('references', 'is_part_of', 'contradicts') THEN 'allowed' WHEN starts_with(type, 'x-') THEN 'custom_unregistered' ELSE 'unknown' END AS verdict, count(*) AS n FROM (SELECT CASE WHEN source_id = 'doc-2' THEN 'x-own' WHEN source_id = 'doc-3' THEN 'odd' ELSE type END AS type FROM edges) GROUP BY ALL")
 def relation_allowed(spark, sf_dir) -> DataFrame:
-    e = edges(spark, sf_dir).select(F.when(F.col("source_id") == "doc-2", "x-own").otherwise(F.col("type")).alias("type"))
-    verdict = F.when(F.col("type").isin("references", "part_of"), "allowed").when(F.col("type").startswith("x-"), "custom_unregistered").otherwise("unknown")
+    e = edges(spark, sf_dir).select(F.when(F.col("source_id") == "doc-2", "x-own").when(F.col("source_id") == "doc-3", "odd").otherwise(F.col("type")).alias("type"))
+    from corvane.operators.lifecycle import INVERSES, SYMMETRIC
+
+    verdict = F.when(F.col("type").isin(*INVERSES, *SYMMETRIC), "allowed").when(F.col("type").startswith("x-"), "custom_unregistered").otherwise("unknown")
     return e.groupBy("type", verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 

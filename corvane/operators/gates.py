@@ -156,9 +156,9 @@ def page_gate(spark, sf_dir) -> DataFrame:
     return wiki(spark, sf_dir).select("id", code.alias("code")).where("code is not null")
 
 
-@query("rul_15_relation_gate", SQL + "SELECT source_id, target_id, type FROM edges WHERE type NOT IN ('references', 'part_of')")
+@query("rul_15_relation_gate", SQL + "SELECT source_id, target_id, type FROM edges WHERE type NOT IN ('references', 'is_part_of')")
 def relation_gate(spark, sf_dir) -> DataFrame:
-    return edges(spark, sf_dir).where(~F.col("type").isin("references", "part_of")).select("source_id", "target_id", "type")
+    return edges(spark, sf_dir).where(~F.col("type").isin("references", "is_part_of")).select("source_id", "target_id", "type")
 
 
 @query("rul_16_retrieval_gate", SQL + f"SELECT id FROM wiki WHERE grade <> 'C' AND heat > 0 AND created_at <= {NOW} AND source IS NOT NULL AND length(body) > 0")

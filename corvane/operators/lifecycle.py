@@ -94,9 +94,29 @@ def disjoint_validity(spark, sf_dir) -> DataFrame:
     return both.select("order_id", "line_a", "line_b", temporally_disjoint(*(F.col(c) for c in ("since_a", "until_a", "since_b", "until_b"))).alias("disjoint"))
 
 
-# Which status may follow which.
-TASK_MOVES = [("pending", "running"), ("pending", "failed"), ("running", "completed"), ("running", "failed"), ("running", "pending"), ("failed", "pending"), ("failed", "running")]
-MOVES_SQL = "(VALUES ('pending', 'running'), ('pending', 'failed'), ('running', 'completed'), ('running', 'failed'), ('running', 'pending'), ('failed', 'pending'), ('failed', 'running')) m(a, b)"
+# Which status may follow which, for tasks, candidates and manifests.
+TASK_MOVES = [
+    ("pending", "running"),
+    ("pending", "failed"),
+    ("running", "waiting_review"),
+    ("running", "approved"),
+    ("running", "failed"),
+    ("waiting_review", "approved"),
+    ("waiting_review", "rejected"),
+    ("rejected", "archived"),
+    ("rejected", "pending"),
+    ("approved", "archived"),
+    ("failed", "pending"),
+    ("failed", "archived"),
+    ("failed", "dead_letter"),
+    ("timeout", "pending"),
+    ("timeout", "archived"),
+    ("timeout", "dead_letter"),
+]
+CANDIDATE_MOVES = [("pending", "validated"), ("pending", "rejected"), ("validated", "promoted"), ("rejected", "pending")]
+MOVES_SQL = f"(VALUES {', '.join(map(str, TASK_MOVES))}) m(a, b)"
+# What a task's status makes of its object.
+TASK_LIFECYCLE = {"running": "processing", "waiting_review": "reviewing", "approved": "active", "rejected": "rejected", "failed": "failed", "archived": "archived", "timeout": "archived", "dead_letter": "failed"}
 
 
 def transitions(changes: DataFrame, moves: list[tuple[str, str]]) -> DataFrame:
@@ -134,8 +154,24 @@ def low_quality(spark, sf_dir) -> DataFrame:
     return wiki(spark, sf_dir).where("grade = 'C' and heat < 10").select("id")
 
 
-# Inverse relation types; others are their own inverse.
-INVERSES = {"references": "referenced_by", "part_of": "has_part"}
+# Inverse relation types; contradicts, analogous_to and opposite_of are their own inverses.
+INVERSES = {
+    "is_part_of": "contains",
+    "contains": "is_part_of",
+    "references": "referenced_by",
+    "referenced_by": "references",
+    "causes": "caused_by",
+    "caused_by": "causes",
+    "supports": "supported_by",
+    "supported_by": "supports",
+    "supersedes": "superseded_by",
+    "superseded_by": "supersedes",
+    "depends_on": "required_by",
+    "required_by": "depends_on",
+    "derived_from": "derives",
+    "derives": "derived_from",
+}
+SYMMETRIC = ("contradicts", "analogous_to", "opposite_of")
 
 
 def inverse_edges(found: DataFrame) -> DataFrame:
@@ -145,6 +181,70 @@ def inverse_edges(found: DataFrame) -> DataFrame:
     return inverse.join(found, ["source_id", "target_id", "type"], "left_anti").distinct()
 
 
-@query("gr_04_inverse_edges", SQL + "SELECT DISTINCT target_id AS source_id, source_id AS target_id, CASE type WHEN 'references' THEN 'referenced_by' ELSE 'has_part' END AS type FROM edges WHERE type IN ('references', 'part_of')")
+@query("gr_04_inverse_edges", SQL + "SELECT DISTINCT target_id AS source_id, source_id AS target_id, CASE type WHEN 'references' THEN 'referenced_by' ELSE 'contains' END AS type FROM edges WHERE type IN ('references', 'is_part_of')")
 def inverse_edges_query(spark, sf_dir) -> DataFrame:
     return inverse_edges(edges(spark, sf_dir))
+
+
+@query("fn_23_inverse_type", SQL + "SELECT type, CASE type WHEN 'references' THEN 'referenced_by' WHEN 'is_part_of' THEN 'contains' ELSE type END AS inverse, count(*) AS n FROM edges GROUP BY ALL")
+def inverse_type(spark, sf_dir) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in (INVERSES | {s: s for s in SYMMETRIC}).items() for x in kv])
+    return edges(spark, sf_dir).groupBy("type", F.element_at(names, F.col("type")).alias("inverse")).agg(F.count("*").alias("n"))
+
+
+@query("gr_05_batch_inverse", SQL + "SELECT DISTINCT target_id AS source_id, source_id AS target_id, CASE type WHEN 'references' THEN 'referenced_by' ELSE 'contains' END AS type FROM edges WHERE type IN ('references', 'is_part_of') AND target_id IN (SELECT id FROM wiki)")
+def batch_inverse(spark, sf_dir) -> DataFrame:
+    """Inverse edges, for pages that exist."""
+    there = wiki(spark, sf_dir).select(F.col("id").alias("source_id"))
+    return inverse_edges(edges(spark, sf_dir)).join(there, "source_id", "left_semi").select("source_id", "target_id", "type")
+
+
+@query("gr_07_inverse_closure", SQL + ", i AS (SELECT target_id AS source_id, source_id AS target_id, CASE type WHEN 'references' THEN 'referenced_by' ELSE 'contains' END AS type FROM edges WHERE type IN ('references', 'is_part_of')) SELECT source_id, target_id, type FROM edges UNION SELECT * FROM i")
+def inverse_closure(spark, sf_dir) -> DataFrame:
+    e = edges(spark, sf_dir)
+    return e.select("source_id", "target_id", "type").union(inverse_edges(e).select("source_id", "target_id", "type")).distinct()
+
+
+@query("fn_26_task_lifecycle", SQL + "SELECT status, CASE status WHEN 'running' THEN 'processing' WHEN 'waiting_review' THEN 'reviewing' WHEN 'approved' THEN 'active' WHEN 'failed' THEN 'failed' END AS lifecycle, count(*) AS n FROM tasks GROUP BY ALL")
+def task_lifecycle(spark, sf_dir) -> DataFrame:
+    """Pending tasks have no object yet."""
+    names = F.create_map(*[F.lit(x) for kv in TASK_LIFECYCLE.items() for x in kv])
+    return tasks(spark, sf_dir).groupBy("status", F.element_at(names, F.col("status")).alias("lifecycle")).agg(F.count("*").alias("n"))
+
+
+@query("fn_24_candidate_moves", "WITH m(a, b) AS (VALUES ('pending', 'validated'), ('pending', 'rejected'), ('validated', 'promoted'), ('rejected', 'pending')), s(x) AS (VALUES ('pending'), ('validated'), ('rejected'), ('promoted')) SELECT p.x AS before, q.x AS status, EXISTS (SELECT 1 FROM m WHERE a = p.x AND b = q.x) AS allowed FROM s p, s q")
+def candidate_moves(spark, sf_dir) -> DataFrame:
+    """The whole table of a small state machine: sixteen rows."""
+    states = spark.createDataFrame([(x,) for x in ("pending", "validated", "rejected", "promoted")], "s string")
+    pairs = states.select(F.col("s").alias("before"), F.explode(F.array(*map(F.lit, ("pending", "validated", "rejected", "promoted")))).alias("status"))
+    return pairs.withColumn("allowed", F.array_contains(F.array(*(F.lit(f"{a}>{b}") for a, b in CANDIDATE_MOVES)), F.concat_ws(">", "before", "status")))
+
+
+@query("fn_22_merge_unit", "SELECT a.conv_id, b.conv_id AS other, count(*) AS n_shared FROM (SELECT DISTINCT conv_id, role, length(text) AS k FROM conversations) a JOIN (SELECT DISTINCT conv_id, role, length(text) AS k FROM conversations) b ON a.role = b.role AND a.k = b.k AND a.conv_id < b.conv_id GROUP BY ALL HAVING count(*) >= 2")
+def merge_unit(spark, sf_dir) -> DataFrame:
+    """Units that agree in two questions or more may be merged."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "role", F.length("text").alias("k")).distinct()
+    both = c.join(c.withColumnRenamed("conv_id", "other"), ["role", "k"]).where("conv_id < other")
+    return both.groupBy("conv_id", "other").agg(F.count("*").alias("n_shared")).where("n_shared >= 2")
+
+
+@query("sup_31_error_class", "SELECT event_id, CASE WHEN event_id % 600 = 429 THEN 'rate_limit' WHEN event_id % 600 = 422 THEN 'content_moderation' WHEN event_id % 600 >= 500 THEN 'transient' ELSE 'permanent' END AS class FROM events WHERE event_type = 'error'")
+def error_class(spark, sf_dir) -> DataFrame:
+    """A retry policy from the status code."""
+    status = F.col("event_id") % 600
+    kind = F.when(status == 429, "rate_limit").when(status == 422, "content_moderation").when(status >= 500, "transient").otherwise("permanent")
+    return read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", kind.alias("class"))
+
+
+@query("sup_36_restore_zombies", SQL + "SELECT id, CASE WHEN heat = 0 THEN 100 ELSE heat END AS heat, is_immutable OR heat = 0 AS is_immutable FROM wiki")
+def restore_zombies(spark, sf_dir) -> DataFrame:
+    zombie = F.col("heat") == 0
+    return wiki(spark, sf_dir).select("id", F.when(zombie, 100).otherwise(F.col("heat")).alias("heat"), (F.col("is_immutable") | zombie).alias("is_immutable"))
+
+
+@query("top_05_curate", SQL + "SELECT * FROM (SELECT 'low_quality' AS proposal, id FROM wiki WHERE grade = 'C' AND heat < 10 ORDER BY doc_id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'obsolete', id FROM wiki WHERE heat = 0 ORDER BY doc_id LIMIT 5)")
+def curate(spark, sf_dir) -> DataFrame:
+    """At most five proposals from each pass."""
+    w = wiki(spark, sf_dir)
+    one = w.where("grade = 'C' and heat < 10").orderBy("doc_id").limit(5).select(F.lit("low_quality").alias("proposal"), "id")
+    return one.union(w.where("heat = 0").orderBy("doc_id").limit(5).select(F.lit("obsolete"), "id"))

@@ -43,7 +43,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id")
     ident = lambda x: F.concat(F.lit("doc-"), x)
     first = d.select(ident(F.col("doc_id")).alias("source_id"), ident(F.col("doc_id") * 2 + 1).alias("target_id"), F.lit("references").alias("type"), F.lit(1.0).alias("weight"))
-    second = d.where("doc_id % 2 = 0").select(ident(F.col("doc_id")), ident(F.col("doc_id") * 3 + 2), F.lit("part_of"), F.lit(0.5))
+    second = d.where("doc_id % 2 = 0").select(ident(F.col("doc_id")), ident(F.col("doc_id") * 3 + 2), F.lit("is_part_of"), F.lit(0.5))
     third = d.where("doc_id % 5 = 0 and doc_id > 0").select(ident(F.col("doc_id")), ident(F.floor(F.col("doc_id") / 5).cast("long")), F.lit("contradicts"), F.lit(0.8))
     return first.union(second).union(third)
 
@@ -56,7 +56,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status changes of tasks: one row for each event, with the user as the task."""
     e = read(spark, sf_dir, "events")
-    return e.select("event_id", F.col("user_id").alias("task_id"), "ts", "value", F.expr("case event_type when 'error' then 'failed' when 'signup' then 'pending' when 'click' then 'running' when 'view' then 'running' else 'completed' end").alias("status"), "event_type")
+    return e.select("event_id", F.col("user_id").alias("task_id"), "ts", "value", F.expr("case event_type when 'error' then 'failed' when 'signup' then 'pending' when 'click' then 'running' when 'view' then 'waiting_review' else 'approved' end").alias("status"), "event_type")
 
 
 SQL = f"""
@@ -68,11 +68,11 @@ WITH wiki AS (
   FROM documents
 ), edges AS (
   SELECT 'doc-' || doc_id AS source_id, 'doc-' || (doc_id * 2 + 1) AS target_id, 'references' AS type, 1.0::DOUBLE AS weight FROM documents
-  UNION ALL SELECT 'doc-' || doc_id, 'doc-' || (doc_id * 3 + 2), 'part_of', 0.5 FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT 'doc-' || doc_id, 'doc-' || (doc_id * 3 + 2), 'is_part_of', 0.5 FROM documents WHERE doc_id % 2 = 0
   UNION ALL SELECT 'doc-' || doc_id, 'doc-' || (doc_id // 5), 'contradicts', 0.8 FROM documents WHERE doc_id % 5 = 0 AND doc_id > 0
 ), claims AS (
   SELECT conv_id || ':' || turn AS id, conv_id AS entity, turn AS ordinal, text AS statement FROM conversations
 ), tasks AS (
-  SELECT event_id, user_id AS task_id, ts, value, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'view' THEN 'running' ELSE 'completed' END AS status, event_type FROM events
+  SELECT event_id, user_id AS task_id, ts, value, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'view' THEN 'waiting_review' ELSE 'approved' END AS status, event_type FROM events
 )
 """
