@@ -5,6 +5,7 @@ import random
 import pytest
 
 from corvane.operators import chunks as C
+from corvane.operators import series as S
 
 
 def test_markdown_chunks_overlap_by_three_lines():
@@ -54,3 +55,23 @@ def test_citations_out_of_range_are_dropped():
 
 def test_similarity_of_titles():
     assert C.title_similarity("Abc ", "abc") == 1.0 and C.title_similarity("", "abc") == 0.0
+
+
+def test_source_chunks_keep_headings_together():
+    assert S.source_chunks("x" * 12_000) == ["x" * 12_000]
+    text = "".join(f"\n# Part {n}\n" + "word " * 900 for n in range(5))
+    got = S.source_chunks(text)
+    assert len(got) > 1 and all(len(x) <= 6000 + 500 for x in got) and got[0].startswith("# Part 0")
+    assert [len(x) for x in S.source_chunks("y" * 13_000)] == [6000, 6000, 1000]
+    assert all(len(x) <= 6000 for x in S.source_chunks("A sentence of words. " * 700))
+
+
+def test_misread_chinese_is_repaired():
+    text = "知识库需要可靠的来源和可以追溯的证据才能被信任"
+    assert S.repaired(text.encode("gbk").decode("latin-1")) == text
+    assert S.repaired("Les sources doivent être vérifiées à chaque étape.") is None and S.repaired(text) is None and S.repaired(None) is None
+
+
+def test_decoding_prefers_utf8():
+    assert S.decoded("é plain".encode()) == "é plain" and S.decoded(None) == ""
+    assert S.decoded("知识库的来源".encode("gbk")) == "知识库的来源"
