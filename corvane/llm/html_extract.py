@@ -103,6 +103,8 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, str]]]:
                 stack.pop()
             role = stack[-1][1] if stack else ""
             own, mark = role_of(name, m[4] or m[7] or "")
+            if role == "m" and own == "x" and (name == "header" or "header" in mark):
+                own = ""  # an article's own heading
             symbols.append(f"{name}.{mark}" if mark else name)
             if name not in VOID and not (m[4] or m[7] or "").endswith("/"):
                 role = "x" if role == "x" or own == "x" else own or role
