@@ -8,7 +8,8 @@ or further left in the same document). Matches never cross documents.
    same selected hash. About one row for 35 bytes is shuffled, whatever the text.
 2. Segments are dealt and sorted by selected hash, content hash and place, and streamed: all but the first of
    equal segments go. Where a selected hash has different segments, the first of each kind may still share
-   windows with the others.
+   windows with the others. A selected hash that makes up a thousandth of all segments (there are a thousand
+   such at most) is salted by document; the firsts of its salts are then settled among themselves.
 3. Those segments are cut from their texts and dealt by a longer context of the selected string, which every
    window on that side of it contains. Blocks of them are suffix-sorted column by column: each round inserts
    one symbol of every segment, from the last to the first, at the place that the collection's
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM  # windows select among SPAN + 1 strings
 HALF = SPAN // 2
 SORT_BYTES, TEXT_BYTES = 3 << 20, 4 << 20
+HOT_SHARE, SALTS, SEEN_IN_BLOCK = 1000, 64, 4
 _byte = mix64(np.arange(1, 257, dtype=np.uint64))
 _mul = mix64(np.arange(1000, 1020, dtype=np.uint64)) | np.uint64(1)
 
@@ -100,27 +103,51 @@ def segments(column: pa.Array) -> tuple[np.ndarray, ...]:
     return row[begin], first - offsets[row[begin]], last + LENGTH - first, chosen[begin] - first, mark[chosen[begin]], content(h64, first, last + LENGTH - first)
 
 
-def marked(docs: DataFrame) -> DataFrame:
+def frequent_marks(docs: DataFrame) -> list[int]:
+    """The selected hashes of at least a HOT_SHARE-th of all segments, so HOT_SHARE of them at most.
+
+    Blocks report what they have several times; a hash so frequent has many in each block that it is in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, limit=TEXT_BYTES):
+            mark, n = np.unique(segments(b.column("text"))[4].view(np.int64), return_counts=True)
+            often = n >= SEEN_IN_BLOCK
+            yield pa.RecordBatch.from_arrays([pa.array([None, *mark[often].tolist()], pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], names=["mark", "n"])
+
+    counts = staged(docs.select("text").mapInArrow(run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")), "marks")
+    total = counts.where("mark is null").agg(F.sum("n")).first()[0] or 0
+    return [r["mark"] for r in counts.where((F.col("mark").isNotNull()) & (F.col("n") * HOT_SHARE >= total)).collect()]
+
+
+def marked(docs: DataFrame, hot: list[int]) -> DataFrame:
+    """All segments; salt is 0, or from 1 for those of hot hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, limit=TEXT_BYTES):
             row, start, size, anchor, mark, h = segments(b.column("text"))
+            mark, place = mark.view(np.int64), pc.fill_null(b.column("id"), 0).to_numpy().astype(np.uint64)[row]
+            salt = np.where(np.isin(mark, hot), 1 + mix64(place) % np.uint64(SALTS), 0)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int16)), pa.array(anchor.astype(np.int16)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))],
-                names=["id", "start", "size", "anchor", "mark", "h"],
+                [b.column("id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int16)), pa.array(anchor.astype(np.int16)), pa.array(mark), pa.array(salt.astype(np.int16)), pa.array(h.view(np.int64))],
+                names=["id", "start", "size", "anchor", "mark", "salt", "h"],
             )
 
-    return docs.mapInArrow(run, "id long, start int, size short, anchor short, mark long, h long")
+    return docs.mapInArrow(run, "id long, start int, size short, anchor short, mark long, salt short, h long")
+
+
+KIND = ["id", "start", "size", "anchor", "mark", "salt", "h"]
 
 
 def split_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by mark, h and place: repeats (whole), and the first of each kind where a mark has several."""
+    """Of rows sorted by mark, salt, h and place: repeats (whole), and the first of each kind where a mark has several kinds or is salted."""
     last_mark = last_h = held = None
     several = False
     for b in batches:
         if not b.num_rows:
             continue
-        mark, h = b.column("mark").to_numpy(), b.column("h").to_numpy()
-        new_mark = np.concatenate([[mark[0] != last_mark], mark[1:] != mark[:-1]])
+        mark, salt, h = (b.column(c).to_numpy() for c in ("mark", "salt", "h"))
+        new_mark = np.concatenate([[(mark[0], salt[0]) != last_mark], (mark[1:] != mark[:-1]) | (salt[1:] != salt[:-1])])
         new_kind = new_mark | np.concatenate([[h[0] != last_h], h[1:] != h[:-1]])
         group = np.cumsum(new_mark)  # 0: goes on from the batch before
         kinds = np.bincount(group[new_kind], minlength=group[-1] + 1)
@@ -128,27 +155,30 @@ def split_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds[0] += 2 if several else 1
             if held is not None and kinds[0] > 1:
                 yield held
-                held = None
-        elif not several:
-            held = None
         if new_mark[0] or kinds[0] > 1:
             held = None
-        want = new_kind & (kinds[group] > 1)
-        rows = np.flatnonzero(want | ~new_kind)
+        rows = np.flatnonzero(~new_kind | (kinds[group] > 1) | (salt > 0))
         if len(rows):
             yield _kind(b.take(pa.array(rows)), ~new_kind[rows])
+        several = kinds[group[-1]] > 1 or salt[-1] > 0
         if new_mark.any():
-            several = kinds[-1] > 1
-            if not several:
-                k = int(np.flatnonzero(new_mark)[-1])
-                held = _kind(b.slice(k, 1), np.array([False]))
-        else:
-            several = kinds[0] > 1
-        last_mark, last_h = mark[-1], h[-1]
+            held = None if several else _kind(b.slice(int(np.flatnonzero(new_mark)[-1]), 1), np.array([False]))
+        last_mark, last_h = (mark[-1], salt[-1]), h[-1]
 
 
 def _kind(b: pa.RecordBatch, whole: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "start", "size", "anchor", "h")), pa.array(whole)], names=["id", "start", "size", "anchor", "h", "whole"])
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in KIND), pa.array(whole)], names=[*KIND, "whole"])
+
+
+def settled(kinds: DataFrame) -> DataFrame:
+    """kinds with the firsts of salts settled: the first of all stays a first, if its mark has several kinds; others are repeats."""
+    firsts = kinds.where("salt > 0 and not whole")
+    best = firsts.groupBy("mark", "h").agg(F.min(F.struct("id", "start")).alias("best"))
+    several = best.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark", F.lit(True).alias("several"))
+    both = firsts.join(best, ["mark", "h"]).join(F.broadcast(several), "mark", "left")
+    later = ~F.struct("id", "start").eqNullSafe(F.col("best"))
+    kept = both.where(later | F.col("several")).select(*KIND, later.alias("whole"))
+    return kinds.where("salt = 0 or whole").unionByName(kept)
 
 
 def cut_out(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -329,8 +359,10 @@ def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranges(docs: DataFrame) -> DataFrame:
     """(id, cuts: start, size, h, lo, hi) of docs (id, text): the byte ranges that go, by segment."""
-    dealt = marked(docs).repartition(F.col("mark")).sortWithinPartitions("mark", "h", "id", "start")
-    kinds = staged(dealt.mapInArrow(split_kinds, "id long, start int, size short, anchor short, h long, whole boolean"), "kinds")
+    hot = frequent_marks(docs)
+    dealt = marked(docs, hot).repartition(F.col("mark"), F.col("salt")).sortWithinPartitions("mark", "salt", "h", "id", "start")
+    kinds = staged(dealt.mapInArrow(split_kinds, "id long, start int, size short, anchor short, mark long, salt short, h long, whole boolean"), "kinds")
+    kinds = staged(settled(kinds), "kinds") if hot else kinds
     parts = cut_out(docs, kinds.where("not whole")).repartition(F.col("key")).sortWithinPartitions("key", "id", "start")
     shared = parts.mapInArrow(sort_blocks, "id long, start int, size short, h long, lo short, hi short")
     whole = kinds.where("whole").select("id", "start", "size", "h", F.lit(0).cast("short").alias("lo"), F.col("size").alias("hi"))
