@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from corvane.llm.common import new_folder, staged
 
 MAGIC = b"CVSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")  # filter at, filter bytes, index at, index bytes, entries, ids, magic
-BLOCK_BYTES, BITS_PER_KEY, PROBES, WORDS_KEPT = 64 << 10, 10, 7, 1_000_000
+BLOCK_BYTES, BITS_PER_KEY, PROBES, WORDS_KEPT, AT_ONCE = 64 << 10, 10, 7, 1_000_000, 8192
 SIGN = 1 << 63
 
 
@@ -181,7 +182,10 @@ class LibraryEncoder:
         self.words: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(texts), AT_ONCE):  # the library's own results are large
+            out += [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > WORDS_KEPT:
@@ -252,7 +256,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
                         start += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array([row["shard"].rpartition("/")[2]] * len(out[0]))], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
-    return offsets.repartition(F.col("shard")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    # the list is small, but each row of it is a file to read: a count of its own keeps Spark from gathering them
+    tasks = max(1, min(shards.count(), 20_000))
+    return offsets.repartition(tasks, F.col("shard")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def op7_sst_output(spark: SparkSession, sf_dir: str) -> DataFrame:
