@@ -107,7 +107,9 @@ def exact_links(members: DataFrame, cosine: float, block: int) -> DataFrame:
             links[left], links[~left] = near @ weight[~left], weight[left] @ near
         return pd.DataFrame({"id": g["id"], "links": links.astype(np.int64)})
 
-    return dealt.select("component", "i", "j", "k", "id", "weight", "v").groupBy("component", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    # dealt by all three: the join alone would leave every block pair of a component in one task
+    dealt = dealt.select("component", "i", "j", "k", "id", "weight", "v").repartition("component", "i", "j")
+    return dealt.groupBy("component", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(
