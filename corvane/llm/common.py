@@ -33,12 +33,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def packed(docs: DataFrame, text_col: str) -> DataFrame:
-    """row: every column in one, so that no name can clash or trouble a function over Arrow; and the text."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    """row: every column but the text in one, so that no name can clash or trouble a function over Arrow; and the text."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*(rest or [F.lit(True).alias("none")])).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
 
-def unpacked(df: DataFrame, names: list[str], text_col: str | None = None, own: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of row again, with the text as it is now if text_col is given, and the operator's own, which replace others of their names."""
+def unpacked(df: DataFrame, names: list[str], text_col: str, own: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of row and the text again, and the operator's own, which replace others of their names."""
     kept = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names if c not in own]
     return df.select(*kept, *own)
 

@@ -202,10 +202,10 @@ def score(docs: DataFrame, field: Field, *, text_col: str = "text", score_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(field.score(b.column("text")), pa.float64())], names=["row", score_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(field.score(b.column("text")), pa.float64())], names=["row", "text", score_col])
 
-    scored = rows.mapInArrow(run, StructType([rows.schema["row"], StructField(score_col, DoubleType())]))
-    return unpacked(scored, docs.columns, own=(score_col,))
+    scored = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(score_col, DoubleType())]))
+    return unpacked(scored, docs.columns, text_col, own=(score_col,))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
