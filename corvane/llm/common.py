@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,40 @@ def unpacked(df: DataFrame, names: list[str], text_col: str, own: tuple[str, ...
     return df.select(*kept, *own)
 
 
+#: Up to so many edges (a few MB) one task unites them; beyond that they are regrouped across tasks.
+EDGES_IN_A_TASK = 400_000
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all edges (a, b) that come, by a union-find with path halving."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    ids = sorted(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b) as (id, component = smallest id), by alternating stars.
+    """Connected components of edges (a, b: long) as (id, component = smallest id).
 
-    Large-star links every larger neighbour of a node to the node's smallest neighbour, small-star does
-    so for the smaller ones; both only regroup edges, so no component is ever gathered in one task.
-    Self-edges, repeats and null ends are ignored; nodes without an edge don't appear.
+    Few edges (their number is checked) are united in one task. More are by alternating stars: large-star
+    links every larger neighbour of a node to the node's smallest neighbour, small-star does so for the
+    smaller ones; both only regroup edges, so no component is ever gathered in one task. Self-edges, repeats
+    and null ends are ignored; nodes without an edge don't appear.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = staged(e, "edges")
+    if e.count() <= EDGES_IN_A_TASK:
+        return e.coalesce(1).mapInArrow(united, "id long, component long")
     before = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

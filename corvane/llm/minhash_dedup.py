@@ -6,12 +6,16 @@ coordinates deal documents into buckets; candidate pairs are confirmed on the fu
 
 1. Documents with equal sets are one class, represented by the smallest identifier.
 2. Buckets of up to SMALL classes give all pairs. In larger ones every class is compared with one centre,
-   another for each band; when those links are united, the pairs of a bucket that still lie in different
-   components are compared as well, so no bucket is capped and no link between its classes is lost.
-3. Links are united by alternating stars.
+   another for each band, and those links are united.
+3. What stars left apart in a bucket is compared by signatures, block against block: each class outside the
+   bucket's main component has a list of the classes of other components that agree with it in AGREE
+   coordinates or more, best first. The lists are confirmed in rounds, a few entries of each, then more, then
+   all, leaving out those that have come together since; so no bucket and no list is capped.
+4. Links are united by alternating stars.
 
 With BANDS = 25 and ROWS = 4, a pair at similarity 0.75 shares no bucket once in 13,000 times, and more
-similar ones more rarely still.
+similar ones more rarely still; such a pair agrees in less than AGREE = 55 coordinates of 100 twice in a
+million times.
 
 Null or empty texts, and texts without words, have an empty set and link with nothing; rows with a null
 identifier link with nothing and keep a null component. Texts are taken whole. Repeated identifiers are one
@@ -23,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 from corvane.llm.bpe_replay import blocks
 from corvane.llm.common import Words, components, mix64, staged, word_bytes
 
-WIDTH, BANDS, ROWS, SMALL = 5, 25, 4, 16
+WIDTH, BANDS, ROWS, SMALL, AGREE, BLOCK = 5, 25, 4, 16, 55, 1024
+#: Entries of the lists that each round confirms.
+ROUNDS = ((0, 4), (4, 40), (40, None))
 SHARE, OF = 75, 100
 #: All but white space, that is but 0x20 and 0x09-0x0D.
 LETTERS = word_bytes([(0, 9), (14, 32), (33, 256)])
@@ -75,13 +82,12 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
-    s = signature(shingles, bands * rows).reshape(bands, rows)
-    return [xxhash.xxh64_intdigest(s[k].tobytes(), k) - (1 << 63) for k in range(bands)]
+def band_keys(sig: bytes, bands: int, rows: int) -> list[int]:
+    return [xxhash.xxh64_intdigest(sig[4 * rows * k : 4 * rows * (k + 1)], k) - (1 << 63) for k in range(bands)]
 
 
-def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, class: digest of the set, bands) of docs (id, text)."""
+def sketches(docs: DataFrame, width: int, size: int) -> DataFrame:
+    """(id, n_shingles, class: digest of the set, sig) of docs (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -91,12 +97,23 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     b.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([band_keys(s, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([signature(s, size).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                 ],
-                names=["id", "n_shingles", "class", "bands"],
+                names=["id", "n_shingles", "class", "sig"],
             )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, class binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, class binary, sig binary")
+
+
+def in_buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(a, bucket): each class once for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.array([band_keys(x, bands, rows) for x in b.column("sig").to_pylist()], np.int64).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("a").to_numpy(), bands)), pa.array(keys)], names=["a", "bucket"])
+
+    return classes.select("a", "sig").mapInArrow(run, "a long, bucket long")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -110,44 +127,70 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: int, of: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = staged(full_sets(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(of * common >= share * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def listed(apart: DataFrame, agree: int, block: int, lo: int, hi: int | None) -> DataFrame:
+    """Pairs (a, b): entries lo to hi of the lists of classes outside their bucket's main component, if still apart.
+
+    apart: bucket, n, a, sig, first (component when the stars were done), main (the bucket's), now (component).
+    """
+    dealt = apart.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("k", "other"), "j": F.greatest("k", "other")})
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ids, first, now, k = (g[c].to_numpy() for c in ("a", "first", "now", "k"))
+        sig = np.stack([np.frombuffer(x, "<u4") for x in g["sig"]])
+        stray = first != g["main"].to_numpy()
+        found = []
+        for x in np.flatnonzero(stray):
+            side = np.flatnonzero((first != first[x]) & ((k != k[x]) | (g["i"].iloc[0] == g["j"].iloc[0])))
+            same = (sig[side] == sig[x]).sum(axis=1)
+            side, same = side[same >= agree], same[same >= agree]
+            side = side[np.lexsort((ids[side], -same))][lo:hi]
+            found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in side if now[y] != now[x]]
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF, bands: int = BANDS, rows: int = ROWS, small: int = SMALL
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, agree: int = AGREE, block: int = BLOCK
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = staged(sketches(texts, width, bands, rows), "sketch")
+    sketch = staged(sketches(texts, width, bands * rows), "sketch")
     linked = sketch.where("n_shingles > 0 and id is not null")
-    classes = staged(linked.groupBy("class").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
-    dealt = classes.select("a", F.explode("bands").alias("bucket"))
+    classes = staged(linked.groupBy("class").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.first("sig").alias("sig")), "classes")
+    dealt = in_buckets(classes, bands, rows)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("a", F.xxhash64("a", "bucket")).alias("centre")).where("n > 1")
     members = staged(dealt.join(sizes, "bucket"), "members")
     few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small)
     pairs = few.select("bucket", "a").join(few.select("bucket", F.col("a").alias("b")), "bucket").where("a < b").select("a", "b")
     stars = many.where("a <> centre").select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
     tested = staged(pairs.union(stars).distinct(), "pairs")
-    edges = staged(confirm(tested, texts, width, share, of), "links")
-    joined = components(edges)
-    # What stars left apart within a bucket: each member outside the bucket's main component against the others.
-    apart = many.join(joined.withColumnRenamed("id", "a"), "a", "left").select("bucket", "a", F.coalesce("component", "a").alias("c"))
-    parts = apart.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = parts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    apart = staged(apart.join(main, "bucket"), "apart")
-    rest = apart.where("c <> main").select("bucket", "a", "c").join(apart.select("bucket", F.col("a").alias("b"), F.col("c").alias("d")), "bucket").where("c <> d")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    rest = staged(rest, "pairs")
-    if not rest.isEmpty():
-        joined = components(edges.union(confirm(rest, texts, width, share, of)))
+    # every class of a shared bucket is in some pair, so these sets serve all rounds
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
+    edges = staged(confirm(tested, sets, share, of), "links")
+    joined = staged(components(edges), "components")
+    apart = many.join(joined.withColumnRenamed("id", "a"), "a", "left").select("bucket", "n", "a", F.coalesce("component", "a").alias("first"))
+    parts = apart.groupBy("bucket", "first").agg(F.count("*").alias("size"))
+    main = parts.groupBy("bucket").agg(F.max_by("first", F.struct("size", "first")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    apart = staged(apart.join(main, "bucket").join(classes.select("a", "sig"), "a"), "apart")
+    for lo, hi in ROUNDS if not apart.isEmpty() else ():
+        now = apart.join(joined.withColumnRenamed("id", "a"), "a", "left").withColumn("now", F.coalesce("component", "a"))
+        more = staged(confirm(listed(now, agree, block, lo, hi), sets, share, of), "links")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            joined = staged(components(edges), "components")
     named = classes.join(joined.withColumnRenamed("id", "a"), "a", "left").where("n > 1 or component is not null").select("class", F.coalesce("component", "a").alias("component"))
-    out = sketch.join(named, "class", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
+    out = sketch.drop("sig").join(named, "class", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -473,9 +473,13 @@ def test_words_of_rows():
     assert w.hash[0] == Words(pa.array(["aB"]), decontaminate.LETTERS).hash[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 400_000])
+def test_components(spark, monkeypatch, few):
+    from corvane.llm import common
     from corvane.llm.common import components
 
+    monkeypatch.setattr(common, "EDGES_IN_A_TASK", few)
+
     rnd = random.Random(6)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (500, 501), (501, 500)]
     groups = Groups()
