@@ -19,15 +19,17 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and everything else in one column, so that no name clashes with a stage's own."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rest = (F.col(f"`{c}`") for c in docs.columns if c != "text")
+    return docs.select("doc_id", "text", F.struct(*rest, F.length("text").alias("length before")).alias("row"))
 
 
 def _as_documents(out: DataFrame, before: DataFrame) -> DataFrame:
-    """The columns of documents again, with the text as it is now, and n_chars of it where it changed."""
+    """The columns of documents again, with the text as it is now, and n_chars of it where something was cut out."""
 
     def value(c: str):
         if c == "n_chars":
-            return F.when(F.col("text").eqNullSafe(F.col("row").getField("text")), F.col("row").getField(c)).otherwise(F.length("text").cast(before.schema[c].dataType))
+            same = F.length("text").eqNullSafe(F.col("row").getField("length before"))
+            return F.when(same, F.col("row").getField(c)).otherwise(F.length("text").cast(before.schema[c].dataType))
         return F.col("text") if c == "text" else F.col("row").getField(c)
 
     return out.select(*(value(c).alias(c) for c in before.columns))
@@ -49,7 +51,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: one document of each group stays."""
     gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
