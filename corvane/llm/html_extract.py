@@ -10,7 +10,7 @@ and an optional slot where only one side has text. Streams that a wrapper accept
 2. Shares of a host's streams are aligned apart; each passes on the streams that changed its wrapper, and
    those are aligned once more. No task gathers a host's pages.
 3. The wrapper says whether the host marks its articles; its accepted slots are the main text: those
-   of articles, or on hosts without such marks those outside page furniture.
+   of articles, or on pages without such marks (whatever the host's other pages have) those outside page furniture.
 
 Scripts, styles, comments and forms are no text. Blocks end at block elements and at <br>. References are
 decoded, white space within a block is one space, blocks are joined by a line feed.
@@ -234,7 +234,8 @@ def thawed(x):
 
 def main_text(page: str | None, wrapper: list | None) -> str:
     symbols, texts = parse(page or "")
-    role = "Tm" if "Tm" in (slots(wrapper) if wrapper else set(symbols)) else "T"
+    # what other pages of the host mark says nothing about a page without marks
+    role = "Tm" if "Tm" in symbols and (wrapper is None or "Tm" in slots(wrapper)) else "T"
     parts, block = [], []
     for at, raw in [*texts, (-1, "\n")]:
         if at >= 0:
