@@ -9,8 +9,13 @@ and an optional slot where only one side has text. Streams that a wrapper accept
 1. Equal streams of a host are counted once (partial aggregation), so the number of pages doesn't matter.
 2. Shares of a host's streams are aligned apart; each passes on the streams that changed its wrapper, and
    those are aligned once more. No task gathers a host's pages.
-3. The wrapper says whether the host marks its articles; its accepted slots are the main text: those
-   of articles, or on pages without such marks (whatever the host's other pages have) those outside page furniture.
+3. Each page is aligned with its host's wrapper, which gives its texts slots; a repeated group is one place
+   in the wrapper, however often a page repeats it. A slot is constant if half of the host's pages and LEAST
+   different ones have it, all with the same texts: that is the template's text, others are the pages' own.
+   Only the least and greatest digest of a slot's texts and a few digests of pages are gathered.
+4. The main text is that of marked articles, or on pages without such marks (whatever the host's other pages
+   have) that of slots outside page furniture which are not constant. What a wrapper does not align is never
+   constant, and a page of constant slots alone keeps them.
 
 Scripts, styles, comments and forms are no text. Blocks end at block elements and at <br>. References are
 decoded, white space within a block is one space, blocks are joined by a line feed.
@@ -22,6 +27,7 @@ results. Extra columns are ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -35,6 +41,8 @@ from corvane.llm.bpe_replay import blocks
 from corvane.llm.common import staged
 
 SHARES, LONGEST_REPEAT = 16, 12
+FAR = 400  # symbols that alignment looks ahead after a mismatch
+LEAST = 4  # different pages that a constant slot takes
 
 # HTML element names and the words that mark page furniture.
 RAW = "script|style|noscript|template|textarea|svg|iframe|select|button|title|object|canvas|audio|video|math"
@@ -232,14 +240,98 @@ def thawed(x):
     return [y if isinstance(y, str) else (y[0], tuple(thawed(y[1]))) for y in x]
 
 
-def main_text(page: str | None, wrapper: list | None) -> str:
+def numbered(wrapper, first: int = 0) -> tuple[list, int]:
+    """The wrapper as (sign, symbol or body, slot or -1), its text slots numbered from first; and the next number."""
+    out = []
+    for x in wrapper:
+        if isinstance(x, str):
+            out.append(("", x, first if x[0] == "T" else -1))
+            first += x[0] == "T"
+        else:
+            body, first = numbered(x[1], first)
+            out.append((x[0], body, -1))
+    return out, first
+
+
+def place(body, s: list[str], j: int, found: list[tuple[int, int]]) -> int | None:
+    """match() on a numbered wrapper and an unfolded stream; adds (place in s, slot) of texts to found."""
+    for sign, x, slot in body:
+        if not sign:
+            if j >= len(s) or s[j] != x:
+                return None
+            if slot >= 0:
+                found.append((j, slot))
+            j += 1
+            continue
+        some = sign != "+"
+        while j < len(s):
+            n = len(found)
+            k = place(x, s, j, found)
+            if k is None or k == j:
+                del found[n:]
+                break
+            j, some = k, True
+            if sign == "?":
+                break
+        if not some:
+            return None
+    return j
+
+
+def head(x) -> str:
+    """The first symbol of a numbered wrapper's part."""
+    while not isinstance(x[1], str):
+        x = x[1][0]
+    return x[1]
+
+
+def places(wrapper, s: list[str]) -> dict[int, int]:
+    """{place in s: slot} of the texts that the numbered wrapper aligns; what either side has alone is passed over."""
+    found: list[tuple[int, int]] = []
+    i = j = 0
+    while i < len(wrapper) and j < len(s):
+        n = len(found)
+        k = place(wrapper[i : i + 1], s, j, found)
+        if k is not None:
+            i, j = i + 1, k
+            continue
+        del found[n:]
+        x = head(wrapper[i])
+        in_s = next((k for k in range(j, min(j + FAR, len(s))) if s[k] == x), None)
+        in_w = next((k for k in range(i + 1, min(i + FAR, len(wrapper))) if head(wrapper[k]) == s[j] and place(wrapper[k : k + 1], s, j, []) not in (None, j)), None)
+        if in_s is not None and in_s > j and (in_w is None or in_s - j <= in_w - i):
+            j = in_s
+        elif in_w is not None:
+            i = in_w
+        else:
+            i, j = i + 1, j + 1
+    return dict(found)
+
+
+def slot_texts(symbols: list[str], texts: list[tuple[int, str]], slot_of: dict[int, int]) -> dict[int, str]:
+    """{slot: its texts on a page}."""
+    got: dict[int, list[str]] = {}
+    for at, raw in texts:
+        if at >= 0 and at in slot_of:
+            got.setdefault(slot_of[at], []).append(raw.strip())
+    return {slot: "\n".join(t) for slot, t in got.items()}
+
+
+def main_text(page: str | None, wrapper: list | None, constant: frozenset[int] = frozenset()) -> str:
+    """wrapper: numbered; constant: its slots with the template's text."""
     symbols, texts = parse(page or "")
     # what other pages of the host mark says nothing about a page without marks
-    role = "Tm" if "Tm" in symbols and (wrapper is None or "Tm" in slots(wrapper)) else "T"
+    if "Tm" in symbols:
+        kept = {i for i, x in enumerate(symbols) if x == "Tm"}
+    else:
+        kept = {i for i, x in enumerate(symbols) if x == "T"}
+        if constant:
+            slot_of = places(wrapper, symbols)
+            kept = {i for i in kept if slot_of.get(i) not in constant} or kept
     parts, block = [], []
     for at, raw in [*texts, (-1, "\n")]:
         if at >= 0:
-            if symbols[at] == role:
+            if at in kept:
                 block.append(raw)
         elif raw == "\n":
             if line := " ".join("".join(block).split()):
@@ -302,20 +394,62 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return staged(aligned(order(witnesses), last=True).withColumnRenamed("stream", "wrapper"), "wrappers")
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def constants(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, wrapper, constant: the wrapper's slots with the template's text) of pages (host, html) and wrappers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
+        for b in blocks(batches, "html"):
+            # (host, slot): least and greatest digest of its texts, pages, least digests of pages; slot -1 is the page
+            seen: dict[tuple[str, int], list] = {}
+            for host, page, text in zip(*(b.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+                if len(known) > 5000:
+                    known.clear()
+                if text not in known:
+                    known[text] = numbered(thawed(json.loads(text)))[0]
+                symbols, texts = parse(page or "")
+                whole = digest("\n".join(t for _, t in texts))
+                got = {-1: ""}
+                if "T" in symbols and "Tm" not in symbols:  # other pages' texts are not asked for
+                    got |= slot_texts(symbols, texts, {i: k for i, k in places(known[text], symbols).items() if symbols[i] == "T"})
+                for slot, t in got.items():
+                    d = digest(t)
+                    x = seen.setdefault((host, slot), [d, d, 0, set()])
+                    x[0], x[1], x[2] = min(x[0], d), max(x[1], d), x[2] + ("Tm" not in symbols)
+                    x[3].add(whole)
+                    if len(x[3]) > 2 * LEAST:
+                        x[3] = set(sorted(x[3])[:LEAST])
+            rows = [(h, k, x[0], x[1], x[2] if n == 0 else 0, p) for (h, k), x in seen.items() for n, p in enumerate(sorted(x[3])[:LEAST])]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["host", "slot", "lo", "hi", "n", "page"])
+
+    each = pages.join(found, "host").select("host", "html", "wrapper").mapInArrow(run, "host string, slot long, lo long, hi long, n long, page long")
+    # the distinct pages are counted up to LEAST by a sketch of bounded size, exact for so few
+    total = staged(each.groupBy("host", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.approx_count_distinct("page").alias("kinds")), "slots")
+    half = total.where("slot = -1").select("host", (F.col("n") / 2).alias("half"))
+    fixed = total.where(f"slot >= 0 and lo = hi and kinds >= {LEAST}").join(half, "host").where("n >= half").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))
+    return staged(found.join(fixed, "host", "left"), "constants")
+
+
 def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """(id, url, text) for every page."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of("url"))
-    both = rows.join(wrappers(rows), "host", "left").select("id", "url", "html", "wrapper")
+    both = rows.join(constants(rows, wrappers(rows)), "host", "left").select("id", "url", "html", "wrapper", "constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
         for b in blocks(batches, "html"):
-            found = b.column("wrapper").to_pylist()
+            found, fixed = b.column("wrapper").to_pylist(), b.column("constant").to_pylist()
             if len(known) > 5000:
                 known.clear()
-            for w in set(found) - known.keys() - {None}:
-                known[w] = thawed(json.loads(w))
-            got = [main_text(h, known.get(w)) for h, w in zip(b.column("html").to_pylist(), found, strict=True)]
+            for w, c in zip(found, fixed, strict=True):
+                if c and w not in known:
+                    known[w] = numbered(thawed(json.loads(w)))[0]
+            got = [main_text(h, known.get(w), frozenset(c or ())) for h, w, c in zip(b.column("html").to_pylist(), found, fixed, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(got, pa.string())], names=["id", "url", "text"])
 
     return both.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, url string, text string").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

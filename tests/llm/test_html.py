@@ -12,3 +12,31 @@ def test_pages_without_marks_on_a_host_with_marks(spark):
     article, plain = "<nav>Menu</nav><article><p>marked</article>", "<nav>Menu</nav><div>not <b>marked</b></div><p>text"
     for url in ("http://a.org/x", None, "/relative", "not a url"):
         assert texts(spark, [(url, article), (url, plain), (url, "<p>broken <b")]) == ["marked", "not marked\ntext", "broken"]
+
+
+def test_constant_slots_are_template_text(spark):
+    top = '<div class="c12">Home About Contact</div><ul>' + "<li>Item</li>" * 3 + "</ul>"
+    own = [f"<div class='k{i % 2}'>" + "".join(f"<p>Own {i} {k}</p>" for k in range(i % 3 + 1)) + "</div>" for i in range(9)]
+    pages = [("http://a.org/", top + x + "<div class='q'>Since 1999</div>") for x in own]
+    want = ["\n".join(f"Own {i} {k}" for k in range(i % 3 + 1)) for i in range(9)]
+    assert texts(spark, pages) == want
+    assert texts(spark, pages * 2) == want * 2
+    # too few different pages tell nothing, repeated or not
+    assert texts(spark, pages[:1] * 9) == ["Home About Contact\nItem\nItem\nItem\nOwn 0 0\nSince 1999"] * 9
+    # what few pages have is theirs; marked articles keep constant text; a page of constant slots alone keeps them
+    assert texts(spark, [*pages, ("http://a.org/", top + own[0] + "<h4>Rare</h4>")])[9] == "Own 0 0\nRare"
+    wrapper = html_extract.numbered(html_extract.fold(html_extract.parse(top)[0]))[0]
+    assert html_extract.main_text(top, wrapper, frozenset({0, 1})) == "Home About Contact\nItem\nItem\nItem"
+    assert html_extract.main_text(top, wrapper, frozenset({1})) == "Home About Contact"
+    assert texts(spark, [("http://b.org/", f"{top}<article><h1>Same</h1><p>{i}</p></article>") for i in range(6)]) == [f"Same\n{i}" for i in range(6)]
+
+
+def test_alignment_gives_slots_of_groups():
+    fold, number = html_extract.fold, html_extract.numbered
+    streams = [["ul", *["li", "T", "/li"] * n, "/ul", "p", "T", "/p"] for n in (1, 3, 2)]
+    wrapper = fold(streams[0])
+    for s in streams[1:]:
+        wrapper = html_extract.generalise(wrapper, fold(s))
+    for s in streams:
+        got = html_extract.places(number(wrapper)[0], s)
+        assert [got[i] for i, x in enumerate(s) if x == "T"] == [0] * (s.count("T") - 1) + [1]
