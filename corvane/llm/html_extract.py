@@ -13,10 +13,14 @@ and an optional slot where only one side has text. Streams that a wrapper accept
    in the wrapper, however often a page repeats it. A slot is constant if half of the host's pages and LEAST
    different ones have it, all with the same texts: that is the template's text, others are the pages' own.
    Only the least and greatest digest of a slot's texts and a few digests of pages are gathered.
-4. The main text is that of marked articles, or on pages without such marks (whatever the host's other pages
+4. The main text is that of marked articles without constant slots of loosely named elements in them, or on pages without such marks (whatever the host's other pages
    have) that of slots outside page furniture which are not constant. What a wrapper does not align is never
    constant, and a page of constant slots alone keeps them.
 
+A class or id is page furniture for certain if it has no other words than such of furniture; headings, captions and
+the anchors of sections in an article are not. One word of it is enough outside articles; in an article it takes
+constant slots too. It never hides a <main>, and an <article> only if it is certain.
+
 Scripts, styles, comments and forms are no text. Blocks end at block elements and at <br>. References are
 decoded, white space within a block is one space, blocks are joined by a line feed.
 
@@ -48,11 +52,18 @@ LEAST = 4  # different pages that a constant slot takes
 RAW = "script|style|noscript|template|textarea|svg|iframe|select|button|title|object|canvas|audio|video|math"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-FURNITURE = frozenset("nav header footer aside form menu head dialog fieldset label input legend figcaption search".split())
+FURNITURE = frozenset("nav header footer aside form menu head dialog fieldset label input legend search".split())
 ARTICLE = frozenset("article main".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget related recommended share sharing social follow header masthead footer copyright legal comment comments commentlist disqus reply replies respond discussion pagination pager toolbar skip form".split()
 )
+# A class or id names a kind of furniture for certain if it has only such words and these beside them. States
+# (has-sidebar) name none. In an article some words are the text's own subject, and ids are its anchors.
+BESIDE_WORDS = frozenset("area article articles bar block body bottom box button buttons container content entry group icon icons id inline inner item items left link links list main outer page pages panel post posts right section site slot text thread title top unit wrap wrapper".split())
+STATE = re.compile(r"(?:^|[-_])(?:no|has|with|without|hide|is)[-_]")
+SUBJECT_WORDS = frozenset("discussion legal notice alert follow".split())
+CERTAIN_IDS = frozenset("comments commentlist disqus respond sidebar nav navbar breadcrumb breadcrumbs newsletter cookie cookies sharing masthead toolbar pager pagination".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 figcaption caption".split())
 ARTICLE_ROLES = frozenset("main article".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -62,23 +73,50 @@ WORD = re.compile(r"[a-z]+")
 CLOSES = {"p": BLOCK - {"br", "option", "title", "head", "html", "body"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
-def role_of(name: str, attributes: str) -> tuple[str, str]:
-    """("x": furniture, "m": article or "", and what tells elements of one name apart)."""
+def names_furniture(name: str, within: bool, is_id: bool) -> int:
+    """2: a class or id names furniture for certain; 1: one of its words does; 0: none. within: in an article."""
+    words = WORD.findall(name)
+    found = FURNITURE_WORDS.intersection(words)
+    if not found or STATE.search(name):
+        return 0
+    if within and not (found & CERTAIN_IDS if is_id else found - SUBJECT_WORDS):
+        return 1
+    return 2 if all(w in found or w in BESIDE_WORDS for w in words) else 1
+
+
+def role_of(name: str, attributes: str, within: bool = False) -> tuple[str, str]:
+    """(role, what tells elements of one name apart). "x": furniture, "m": article, "w", "l": furniture by its
+    class or id for certain or by a word of it, or "". within: the element lies in an article."""
     mark = ""
     role = "x" if name in FURNITURE else "m" if name in ARTICLE else ""
+    words = 0
     for m in ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             role = role or ("x" if value in FURNITURE_ROLES else "m" if value in ARTICLE_ROLES else "")
         else:
             mark = mark or value.split(" ")[0][:40]
-            if not FURNITURE_WORDS.isdisjoint(WORD.findall(value)) and name not in ("html", "body"):
-                role = role if role == "m" else "x"
-    return role, mark
+            if name not in ("html", "body") and not (within and name in HEADINGS):
+                words = max([words, *(names_furniture(v, within, m[1].lower() == "id") for v in value.split())])
+    return role or ("", "l", "w")[words], mark
+
+
+def role_within(outer: str, own: str, name: str) -> str:
+    """The role within an element of its own role, in an element of the role outer.
+
+    "c": in an article, loosely named furniture; "v": an article in loosely named furniture outside.
+    """
+    if outer == "x" or own == "x":
+        return "x"
+    if own == "m":
+        return "m" if outer not in ("w", "l") or name == "main" else "x" if outer == "w" else "v"
+    if outer in ("m", "c", "v"):
+        return "x" if own == "w" else "c" if own == "l" and outer == "m" else outer
+    return "w" if "w" in (outer, own) else own or outer
 
 
 def parse(page: str) -> tuple[list[str], list[tuple[int, str]]]:
-    """(symbols, texts: (symbol's place, decoded text)); a text symbol is T, Tm in articles, Tx in furniture."""
+    """(symbols, texts: (symbol's place, decoded text)); a text symbol is T, Tm in articles, Tx, Tw, Tl in furniture; Tc, Tv: see role_within."""
     symbols: list[str] = []
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, str]] = []  # open elements and the role within them
@@ -110,12 +148,12 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, str]]]:
             while stack and name in CLOSES.get(stack[-1][0], ()):
                 stack.pop()
             role = stack[-1][1] if stack else ""
-            own, mark = role_of(name, m[4] or m[7] or "")
-            if role == "m" and own == "x" and (name == "header" or "header" in mark):
+            own, mark = role_of(name, m[4] or m[7] or "", role in ("m", "c", "v"))
+            if role in ("m", "c", "v") and own and own != "m" and (name == "header" or "header" in mark):
                 own = ""  # an article's own heading
             symbols.append(f"{name}.{mark}" if mark else name)
             if name not in VOID and not (m[4] or m[7] or "").endswith("/"):
-                role = "x" if role == "x" or own == "x" else own or role
+                role = role_within(role, own, name)
                 stack.append((name, role))
         if name in BLOCK:
             texts.append((-1, "\n"))
@@ -317,17 +355,20 @@ def slot_texts(symbols: list[str], texts: list[tuple[int, str]], slot_of: dict[i
     return {slot: "\n".join(t) for slot, t in got.items()}
 
 
+def marked(symbols: list[str]) -> bool:
+    return "Tm" in symbols or "Tc" in symbols
+
+
 def main_text(page: str | None, wrapper: list | None, constant: frozenset[int] = frozenset()) -> str:
     """wrapper: numbered; constant: its slots with the template's text."""
     symbols, texts = parse(page or "")
     # what other pages of the host mark says nothing about a page without marks
-    if "Tm" in symbols:
-        kept = {i for i, x in enumerate(symbols) if x == "Tm"}
-    else:
-        kept = {i for i, x in enumerate(symbols) if x == "T"}
-        if constant:
-            slot_of = places(wrapper, symbols)
-            kept = {i for i in kept if slot_of.get(i) not in constant} or kept
+    wanted = ("Tm", "Tc") if marked(symbols) else ("T", "Tv")
+    kept = {i for i, x in enumerate(symbols) if x in wanted}
+    decided = ("Tc",) if marked(symbols) else wanted
+    if constant and any(x in decided for x in symbols):
+        slot_of = places(wrapper, symbols)
+        kept = {i for i in kept if symbols[i] not in decided or slot_of.get(i) not in constant} or kept
     parts, block = [], []
     for at, raw in [*texts, (-1, "\n")]:
         if at >= 0:
@@ -404,34 +445,37 @@ def constants(pages: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
         for b in blocks(batches, "html"):
-            # (host, slot): least and greatest digest of its texts, pages, least digests of pages; slot -1 is the page
-            seen: dict[tuple[str, int], list] = {}
+            # (host, marked, slot): least and greatest digest of its texts, pages, least digests of pages; slot -1 is the page
+            seen: dict[tuple[str, bool, int], list] = {}
             for host, page, text in zip(*(b.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
                 if len(known) > 5000:
                     known.clear()
                 if text not in known:
                     known[text] = numbered(thawed(json.loads(text)))[0]
                 symbols, texts = parse(page or "")
-                whole = digest("\n".join(t for _, t in texts))
-                got = {-1: ""}
-                if "T" in symbols and "Tm" not in symbols:  # other pages' texts are not asked for
-                    got |= slot_texts(symbols, texts, {i: k for i, k in places(known[text], symbols).items() if symbols[i] == "T"})
+                m, got, whole = marked(symbols), {-1: ""}, 0
+                decided = ("Tc",) if m else ("T", "Tv")
+                if any(x in decided for x in symbols):
+                    whole = digest("\n".join(t for _, t in texts))
+                    got |= slot_texts(symbols, texts, {i: k for i, k in places(known[text], symbols).items() if symbols[i] in decided})
                 for slot, t in got.items():
                     d = digest(t)
-                    x = seen.setdefault((host, slot), [d, d, 0, set()])
-                    x[0], x[1], x[2] = min(x[0], d), max(x[1], d), x[2] + ("Tm" not in symbols)
+                    x = seen.setdefault((host, m, slot), [d, d, 0, set()])
+                    x[0], x[1], x[2] = min(x[0], d), max(x[1], d), x[2] + 1
                     x[3].add(whole)
                     if len(x[3]) > 2 * LEAST:
                         x[3] = set(sorted(x[3])[:LEAST])
-            rows = [(h, k, x[0], x[1], x[2] if n == 0 else 0, p) for (h, k), x in seen.items() for n, p in enumerate(sorted(x[3])[:LEAST])]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["host", "slot", "lo", "hi", "n", "page"])
+            rows = [(*k, x[0], x[1], x[2] if n == 0 else 0, p) for k, x in seen.items() for n, p in enumerate(sorted(x[3])[:LEAST])]
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.bool_(), *[pa.int64()] * 5], strict=True)], names=["host", "marked", "slot", "lo", "hi", "n", "page"])
 
-    each = pages.join(found, "host").select("host", "html", "wrapper").mapInArrow(run, "host string, slot long, lo long, hi long, n long, page long")
+    # a wrapper has all slots of its host's pages; without these there is nothing to decide
+    open_ = found.where(F.col("wrapper").rlike('"T[cv]?"'))
+    each = pages.join(open_, "host").select("host", "html", "wrapper").mapInArrow(run, "host string, marked boolean, slot long, lo long, hi long, n long, page long")
     # the distinct pages are counted up to LEAST by a sketch of bounded size, exact for so few
-    total = staged(each.groupBy("host", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.approx_count_distinct("page").alias("kinds")), "slots")
-    half = total.where("slot = -1").select("host", (F.col("n") / 2).alias("half"))
-    fixed = total.where(f"slot >= 0 and lo = hi and kinds >= {LEAST}").join(half, "host").where("n >= half").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))
+    total = staged(each.groupBy("host", "marked", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.approx_count_distinct("page").alias("kinds")), "slots")
+    half = total.where("slot = -1").select("host", "marked", (F.col("n") / 2).alias("half"))
+    fixed = total.where(f"slot >= 0 and lo = hi and kinds >= {LEAST}").join(half, ["host", "marked"]).where("n >= half").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))
     return staged(found.join(fixed, "host", "left"), "constants")
 
 

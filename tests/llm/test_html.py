@@ -40,3 +40,20 @@ def test_alignment_gives_slots_of_groups():
     for s in streams:
         got = html_extract.places(number(wrapper)[0], s)
         assert [got[i] for i, x in enumerate(s) if x == "T"] == [0] * (s.count("T") - 1) + [1]
+
+
+def test_names_in_articles(spark):
+    whole = {
+        "<article><h2 id='related-work'>Related work</h2><p>a</p><h2 id='legal-notice'>Legal</h2></article>": "Related work\na\nLegal",
+        "<article><section id='discussion'><p>a</p></section><section class='related-work'>b</section></article>": "a\nb",
+        "<article><div class='article-body no-sidebar'><p>a</p></div></article>": "a",
+        "<div id='page' class='has-sidebar'><main><p>a</p></main><div class='sidebar'>no</div></div>": "a",
+        "<div class='sidebar-left-layout'><main><p>a</p></main></div>": "a",
+        "<article><figure><img><figcaption>Figure 1</figcaption></figure><p>a</p></article>": "Figure 1\na",
+        "<article><p>a</p><div class='comments'>no</div><div id='comments'>no</div><div class='share-buttons'>no</div></article>": "a",
+        "<p>text</p><div class='comment-list'><article>reader</article></div>": "text",
+    }
+    assert texts(spark, [(f"http://h{i}.org/", page) for i, page in enumerate(whole)]) == list(whole.values())
+    # the host's wrapper decides about a loose name: constant text goes, varying text stays
+    odd = [("http://a.org/", f"<article><p>{i}</p><div class='c12-social'>Tell others</div><div class='search-results'>{i} found</div></article>") for i in range(6)]
+    assert texts(spark, odd) == [f"{i}\n{i} found" for i in range(6)]
