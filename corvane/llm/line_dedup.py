@@ -1,12 +1,11 @@
 """Line deduplication by winnowing, with DataFrame functions only.
 
 A text is its lines; blank ones don't count. A window starts at a line and takes in lines until it has
-MIN_WORDS words, or ends at a line and reaches back as far. From each window the least line hash is selected,
-so any run of MIN_WORDS words that two places share has a selected line in common, its fingerprint. The
-positions of fingerprints that were selected more than once are joined with their windows; each such window
-extends its fingerprint both ways, and windows of equal content are one repeat. The first occurrence (by
+MIN_WORDS words, or ends at a line and reaches back as far. Windows of equal content (a hash of their lines'
+hashes) are one repeat: they are grouped directly, at every line. The least line hash of a window, its winnowing
+mark, only leaves out windows whose mark occurs once; no match is extended from it. The first occurrence (by
 identifier, then line) stays; later ones overlap into maximal runs, which are deleted, with blank lines inside
-them.
+them. Runs are of whole lines: what two places share of a line they don't share as a whole is no part of one.
 
 So exactly those lines go that lie in a window whose content also begins earlier. Lines are compared trimmed,
 by 64-bit hashes. Grouping is by hash with partial aggregation, so a passage that a third of all rows share
