@@ -2,7 +2,7 @@
 
 In each pass every vector gets the signs of BITS random projections, concatenated; vectors of one label are
 put in the lexicographic order of these strings, and each is compared with its WINDOW successors by cosine
-in double precision. Verified pairs are united across passes. Since a dense group may be larger than any
+in double precision, also over the edges of range partitions. Verified pairs are united across passes. Since a dense group may be larger than any
 window, the links within each component are then counted exactly, block against block of at most BLOCK
 vectors, so no partner is capped.
 
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,62 @@ def linked_in_order(batches: Iterator[pa.RecordBatch], window: int, cosine: floa
         held = t.slice(max(0, len(ids) - window)).to_batches()[0] if len(ids) else None
 
 
+def linked(order: DataFrame, window: int, cosine: float) -> DataFrame:
+    """(a, b) of range partitions in order: linked_in_order() within each, then over their edges.
+
+    Each partition passes on its first and last rows; the last ones are compared with as many of the following
+    partitions' first rows as the window reaches.
+    """
+    kinds = dict(order.dtypes)
+    columns = ["pass", "label", "dim", "key", "id", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        head = tail = None
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            nonlocal head, tail
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                head = t.slice(0, window) if head is None else head if head.num_rows >= window else pa.concat_tables([head, t]).slice(0, window)
+                tail = t if tail is None else pa.concat_tables([tail, t])
+                tail = tail.slice(max(0, tail.num_rows - window)).combine_chunks()
+                yield b
+
+        types = None
+        for pairs in linked_in_order(passed(), window, cosine):
+            types = types or [head.schema.field(c).type for c in columns]
+            n = pairs.num_rows
+            yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), *(pa.nulls(n, x) for x in types)], names=["a", "b", "part", "tail", *columns])
+        for t, last in ((head, False), (tail, True)):
+            if t is not None and t.num_rows:
+                n, t = t.num_rows, t.combine_chunks()
+                rest = [t.column(c).combine_chunks() for c in columns]
+                rest = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in rest]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([last] * n), *rest], names=["a", "b", "part", "tail", *columns])
+
+    schema = f"a long, b long, part int, tail boolean, pass int, label {kinds['label']}, dim int, key long, id long, v array<double>"
+    found = staged(order.mapInArrow(run, schema), "windows")
+    within = found.where("part is null").select("a", "b")
+    # one row for each partition, so that the edges that a short partition lies between are known
+    sizes = sorted((r["part"], r["n"]) for r in found.where("not tail").groupBy("part").agg(F.count("*").alias("n")).collect())
+    reach = []
+    for k, (part, _) in enumerate(sizes):
+        left = window
+        for other, n in sizes[k + 1 :]:
+            reach.append((part, other))
+            left -= n
+            if left <= 0:
+                break
+    if not reach:
+        return within
+    after = found.sparkSession.createDataFrame(reach, "edge int, part int")
+    befores = found.where("tail").join(after.select("edge").distinct(), F.col("part") == F.col("edge")).select("edge", *columns)
+    afters = found.where("not tail").join(after, "part").select("edge", *columns)
+    rows = befores.union(afters).repartition("edge").sortWithinPartitions("edge", *columns[:-1])
+    return within.union(rows.select(*columns).mapInArrow(lambda batches: linked_in_order(batches, window, cosine), "a long, b long"))
+
+
 def exact_links(members: DataFrame, cosine: float, block: int) -> DataFrame:
     """(id, links): the weight of all vectors of the same component (and label) that each links with."""
     size = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
@@ -122,8 +179,7 @@ def near_duplicates(
     rows = staged(rows.withColumns({"usable": usable, "k1": F.when(usable, F.xxhash64("label", "v")), "k2": F.when(usable, F.xxhash64(F.lit("2"), "v", "label"))}), "vectors")
     classes = staged(rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
     order = projected(classes.select("id", "label", "v"), passes, bits, seed).repartitionByRange("pass", "label", "dim", "key").sortWithinPartitions("pass", "label", "dim", "key", "id")
-    pairs = order.mapInArrow(lambda batches: linked_in_order(batches, window, cosine), "a long, b long")
-    joined = staged(components(pairs), "components")
+    joined = staged(components(linked(order, window, cosine)), "components")
     members = joined.join(classes, "id").select("component", "id", "weight", "v")
     links = exact_links(members, cosine, block)
     named = classes.select("k1", "k2", "id", "weight").join(joined, "id", "left").join(links, "id", "left").select("k1", "k2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
