@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.plans.folders import new_folder
 from corvane.plans.registry import query
 from corvane.sources.tables import SQL, edges, read, wiki
 
@@ -31,15 +32,25 @@ def neighbours_query(spark, sf_dir) -> DataFrame:
     return neighbours(edges(spark, sf_dir), "doc-0", 3).select("id", "hops", F.round("weight", 6).alias("weight"))
 
 
-def shortest_path(found: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
-    """(hops, path) of the shortest path, the alphabetically first of several; no row if there is none."""
-    frontier = found.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = frontier
-    for _ in range(most):
-        step = frontier.withColumnRenamed("id", "source_id").join(found.select("source_id", "target_id").distinct(), "source_id")
-        frontier = step.groupBy(F.col("target_id").alias("id")).agg(F.min(F.concat("path", F.array("target_id"))).alias("path")).join(seen, "id", "left_anti").select("id", "path")
-        seen = seen.union(frontier)
-    return seen.where(F.col("id") == end).select((F.size("path") - 1).cast("long").alias("hops"), F.array_join("path", ">").alias("path"))
+def shortest_path(found: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
+    """(hops, path) of the shortest path, the alphabetically first of several; no row if there is none (in at most most steps).
+
+    Each step is written to the shared folder and read again, until it reaches the end or nothing new.
+    """
+    spark, place, step = found.sparkSession, new_folder(found.sparkSession, "path"), 0
+    found.select("source_id", "target_id").distinct().write.parquet(f"{place}/links")
+    links, schema = spark.read.schema("source_id string, target_id string").parquet(f"{place}/links"), "id string, path array<string>"
+    spark.createDataFrame([(start, [start])], schema).write.parquet(f"{place}/0")
+    while True:
+        frontier = spark.read.schema(schema).parquet(f"{place}/{step}")
+        there = frontier.where(F.col("id") == end)
+        if step == most or not there.isEmpty() or frontier.isEmpty():
+            return there.select((F.size("path") - 1).cast("long").alias("hops"), F.array_join("path", ">").alias("path"))
+        seen = spark.read.schema("id string").parquet(*(f"{place}/{k}" for k in range(step + 1)))
+        after = frontier.withColumnRenamed("id", "source_id").join(links, "source_id")
+        after = after.groupBy(F.col("target_id").alias("id")).agg(F.min(F.concat("path", F.array("target_id"))).alias("path"))
+        step += 1
+        after.join(seen, "id", "left_anti").select("id", "path").write.parquet(f"{place}/{step}")
 
 
 @query(
