@@ -49,22 +49,28 @@ def unpacked(df: DataFrame, names: list[str], text_col: str, own: tuple[str, ...
 EDGES_IN_A_TASK = 400_000
 
 
-def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, component) of all edges (a, b) that come, by a union-find with path halving."""
-    up: dict[int, int] = {}
+class Unions:
+    """Disjoint sets of numbers, by a union-find with path halving."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
+    def root(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up[y]
         return x
 
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all edges (a, b) that come."""
+    sets = Unions()
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = root(a), root(b)
+            a, b = sets.root(a), sets.root(b)
             if a != b:
-                up[max(a, b)] = min(a, b)
-    ids = sorted(up)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"])
+                sets.up[max(a, b)] = min(a, b)
+    ids = sorted(sets.up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([sets.root(x) for x in ids], pa.int64())], names=["id", "component"])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -178,11 +178,13 @@ def test_suffix_array_and_wavelet():
 # 6 ------------------------------------------------------------------------------------------------
 
 
+def shingles6(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
 def brute6(rows):
-    sets = {}
-    for d, t, *_ in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    sets = {d: shingles6(t) for d, t, *_ in rows}
     groups = Groups()
     for a, b in itertools.combinations([d for d in sets if d is not None], 2):
         x, y = sets[a], sets[b]
@@ -211,7 +213,43 @@ def test_large_bucket_of_several_groups(spark):
             w[k] = f"x{n}_{k}"
         rows.append((n, " ".join(w), "en", "s", 0))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert by_id(minhash_dedup.near_duplicates(df, small=3), "doc_id", "n_shingles", "component_id", "kept") == brute6(rows)
+    assert by_id(minhash_dedup.near_duplicates(df, small=3, part=20, block=16), "doc_id", "n_shingles", "component_id", "kept") == brute6(rows)
+
+
+@pytest.mark.parametrize("part, block", [(128, 512), (12, 7)])
+def test_chains_within_large_buckets(spark, part, block):
+    """Texts a step apart are linked, others are not, and several chains share their words."""
+    rows = []
+    for chain in range(4):
+        base = [f"w{i}" if i % 10 < 7 else f"w{i}c{chain}" for i in range(100)]
+        for n in range(30):
+            rows.append((chain * 100 + n, " ".join(f"y{chain}-{n - n % 3}-{i}" if (i + n) % 100 < 3 * (n % 3) else x for i, x in enumerate(base))))
+    rows += [(1000 + n, " ".join(f"q{(n * 7 + i) // 3}" for i in range(40))) for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(minhash_dedup.near_duplicates(df, small=3, part=part, block=block), "doc_id", "n_shingles", "component_id", "kept") == brute6(rows)
+
+
+def test_repeated_identifiers_are_one_vertex(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " x"), (3, say("b") + " x"), (4, say("b") + " x"), (5, say("c")), (5, say("c")), (6, ""), (None, say("a"))]
+    for order in (rows, rows[::-1]):
+        got = minhash_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (None, None)}
+        assert len(got) == len(rows)
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Of 2,000 pairs at similarities of 0.75 to 0.80, at least 0.998 are linked."""
+    rnd, rows = random.Random(11), []
+    for n in range(2000):
+        size, tail = 400, rnd.randint(45, 55)
+        words = [f"{n}-{i}" for i in range(size)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[: size - tail] + [f"{n}+{i}" for i in range(tail)]))]
+    got = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id")
+    alike = [n for n in range(2000) if 100 * (k := len((x := shingles6(rows[2 * n][1])) & (y := shingles6(rows[2 * n + 1][1])))) >= 75 * len(x | y) and k]
+    found = sum(got[2 * n + 1][0] == 2 * n for n in alike)
+    assert len(alike) > 1000 and found >= 0.998 * len(alike)
+    assert sum(got[2 * n + 1][0] == 2 * n for n in range(2000)) == found
 
 
 def test_signature_is_circulant():
