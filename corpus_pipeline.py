@@ -49,9 +49,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: one document of each group stays."""
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Operator 6: one document of each group stays; of rows that share its identifier, the one with the least digest.
+
+    Documents without words, or without identifier, all stay.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    found = staged(minhash_dedup.near_duplicates(docs).where("n_shingles > 0 and doc_id is not null"), "groups")
+    gone = found.where("not kept").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*names)
+    repeated = staged(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return out
+    # rows that have words are grouped by their identifier; hashes are compared, texts are not gathered
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole = out.select("doc_id", F.struct(*names).alias("row"), worded.alias("worded")).withColumn("digest", F.xxhash64("row"))
+    mine = whole.join(repeated, "doc_id", "left_semi").where("worded")
+    first = mine.groupBy("doc_id").agg(F.min_by("row", "digest").alias("row"))
+    rest = whole.join(repeated.withColumn("again", F.lit(True)), "doc_id", "left").where("not (worded and coalesce(again, false))")
+    return rest.select("row.*").union(first.select("row.*"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

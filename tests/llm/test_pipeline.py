@@ -75,3 +75,14 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{place}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_identifiers_leave_one_row_of_a_group(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, say("a"), 1), (1, say("a"), 1), (2, say("a") + " x", 2), (3, "", 3), (3, "", 3), (4, say("b"), 4), (4, say("c"), 5), (None, say("a"), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert [i for i, _ in got] == [0, 1, 3, 3, 4]
+    assert got[1] == (1, say("a"))
