@@ -1,15 +1,21 @@
 """Line deduplication by winnowing, with DataFrame functions only.
 
 A text is its lines; blank ones don't count. A window starts at a line and takes in lines until it has
-MIN_WORDS words, or ends at a line and reaches back as far. Windows of equal content (a hash of their lines'
-hashes) are one repeat: they are grouped directly, at every line. The least line hash of a window, its winnowing
-mark, only leaves out windows whose mark occurs once; no match is extended from it. The first occurrence (by
-identifier, then line) stays; later ones overlap into maximal runs, which are deleted, with blank lines inside
-them. Runs are of whole lines: what two places share of a line they don't share as a whole is no part of one.
-
-So exactly those lines go that lie in a window whose content also begins earlier. Lines are compared trimmed,
-by 64-bit hashes. Grouping is by hash with partial aggregation, so a passage that a third of all rows share
-reaches no task as a whole.
+MIN_WORDS words, or ends at a line and reaches back as far. Each window selects its least line hash, leftmost
+first: the selected lines are the fingerprints, and equal windows select the same line of theirs.
+
+1. Around each selected line lies its segment: the lines of all windows that select it, as far as they reach
+   either way. Only these are shuffled, one row for each fingerprint.
+2. Positions of a fingerprint that occurs more than once are joined: where whole segments are equal, the first
+   (by identifier, then line) stays and the others are later repeats over their whole length.
+3. Where a fingerprint has different segments, the first of each kind may still share a part with the others.
+   These matches are extended window by window: a window whose content begins earlier is a later repeat.
+4. Later repeats overlap into maximal runs, which are deleted, with blank lines inside them.
+
+So exactly those lines go that lie in a window whose content also begins earlier: any run of whole lines with
+MIN_WORDS words in common is found. What two places share of a line they don't share as a whole is no part of
+one; a long line is a window of its own. Lines are compared trimmed, by 64-bit hashes. Firsts are minima with partial aggregation, and
+joined back to staged rows, so that a passage that a third of all rows share reaches no task as a whole.
 
 Null texts have no lines and stay null; empty texts have a single blank line. Very long texts are one row,
 their lines' hashes one window partition. Rows with the same identifier and text are one document and lose
@@ -26,9 +32,12 @@ from corvane.llm.common import packed, staged, unpacked
 MIN_WORDS = 50
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, th, a, b, mark, content): each window's document, first and last line, selected hash and content."""
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).where(F.col("line").rlike("[^ \t\r]"))
+def segments(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, th, pos, mark, a, b, content, windows): each selected line with its hash and segment.
+
+    windows: the first and last line, by their distance from pos, and the content of those that select the line.
+    """
+    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("th"), F.posexplode(F.split(f"`{text_col}`", "\n")).alias("pos", "line")).where(F.col("line").rlike("[^ \t\r]"))
     lines = lines.select("id", "th", "pos", F.xxhash64(F.regexp_replace("line", "^[ \t\r]+|[ \t\r]+$", "")).alias("h"), F.regexp_count("line", F.lit("[^ \t\r]+")).cast("long").alias("n"))
     lines = lines.dropDuplicates(["id", "th", "pos"])
     doc = Window.partitionBy("id", "th")
@@ -36,22 +45,37 @@ def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     ahead, back = doc.orderBy("s").rangeBetween(0, min_words - 1), doc.orderBy("e").rangeBetween(1 - min_words, 0)
 
     def taken(frame, a, b):
-        return F.struct(a.alias("a"), b.alias("b"), F.min("h").over(frame).alias("mark"), F.xxhash64(F.collect_list("h").over(frame)).alias("content"), F.sum("n").over(frame).alias("words"))
+        return F.struct(a.alias("a"), b.alias("b"), F.min(F.struct("h", "pos")).over(frame).alias("mark"), F.xxhash64(F.collect_list("h").over(frame)).alias("content"), F.sum("n").over(frame).alias("words"))
 
     both = lines.select("id", "th", taken(ahead, F.col("pos"), F.max("pos").over(ahead)).alias("x"), taken(back, F.min("pos").over(back), F.col("pos")).alias("y"))
-    # a backward window that some forward window equals is left out
     every = both.select("id", "th", F.explode(F.array("x", "y")).alias("w")).select("id", "th", "w.*").where(F.col("words") >= min_words)
-    return every.drop("words").distinct()
+    at = F.col("mark.pos")
+    every = every.select("id", "th", at.alias("pos"), F.col("mark.h").alias("mark"), "a", "b", F.struct((F.col("a") - at).alias("a"), (F.col("b") - at).alias("b"), "content").alias("w"))
+    # a window that is met both ways counts once
+    every = every.groupBy("id", "th", "pos", "mark").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sort_array(F.collect_set("w")).alias("windows"))
+    return every.withColumn("content", F.xxhash64("windows"))
+
+
+def later_ones(found: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of staged rows (id, th, a, keys): those that equal an earlier one in all keys; and each kind's first place and number."""
+    firsts = staged(found.groupBy(*keys).agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count("*").alias("k")), "firsts")
+    again = firsts.where("k > 1").select(*(F.col(c).alias(f"first {c}") for c in keys), "first")
+    same = [F.col(c) == F.col(f"first {c}") for c in keys]
+    return found.join(again, same).where(~F.struct("id", "th", "a").eqNullSafe(F.col("first"))), firsts
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, runs): by document, the maximal runs of lines (a, b) that occur earlier, in order."""
-    found = staged(windows(docs, id_col, text_col, min_words), "windows")
-    marks = found.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1").select("mark")
-    near = found.join(marks, "mark")
-    firsts = near.groupBy("mark", "content").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = near.join(firsts.select("mark", "content", "first"), ["mark", "content"]).where(~F.struct("id", "th", "a").eqNullSafe(F.col("first")))
-    spans = later.groupBy("id", "th", "a").agg(F.max("b").alias("b"))
+    found = staged(segments(docs, id_col, text_col, min_words), "fingerprints")
+    later, firsts = later_ones(found.drop("windows"), ["mark", "content"])
+    several = staged(firsts.groupBy("mark").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("mark").alias("m")), "several")
+    kinds = staged(firsts.join(several, F.col("mark") == F.col("m")).select("mark", "content", "first.*"), "kinds")
+    here = [F.col("found.id").eqNullSafe(F.col("kinds.id")), *(F.col(f"found.{c}") == F.col(f"kinds.{c}") for c in ("th", "a", "mark", "content"))]
+    apart = found.alias("found").join(kinds.alias("kinds"), here, "left_semi")
+    apart = apart.select("id", "th", "mark", "pos", F.explode("windows").alias("w"))
+    apart = staged(apart.select("id", "th", "mark", (F.col("pos") + F.col("w.a")).alias("a"), (F.col("pos") + F.col("w.b")).alias("b"), F.col("w.content").alias("content")), "windows")
+    extended, _ = later_ones(apart, ["mark", "content"])
+    spans = later.select("id", "th", "a", "b").union(extended.select("id", "th", "a", "b")).groupBy("id", "th", "a").agg(F.max("b").alias("b"))
     doc = Window.partitionBy("id", "th").orderBy("a")
     reach = F.max("b").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.coalesce((F.col("a") > reach + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(doc))
