@@ -3,13 +3,14 @@
 In each pass every vector gets the signs of BITS random projections, concatenated; vectors of one label are
 put in the lexicographic order of these strings, and each is compared with its WINDOW successors by cosine
 in double precision, also over the edges of range partitions. Verified pairs are united across passes. Since a dense group may be larger than any
-window, the links within each component are then counted exactly, block against block of at most BLOCK
-vectors, so no partner is capped.
+window, the links within each component are then counted exactly, block against block of about BLOCK
+vectors, so no partner is capped; a component of n vectors sends each to n / BLOCK tasks.
 
 Equal vectors of a label are one weighted vector from the start. A null label, and a vector that is null,
 empty, zero or holds null or non-finite components, links with nothing; so do rows without identifier.
-Vectors of different length are never compared. Repeated identifiers are one vertex. Extra columns are
-ignored. An empty table gives an empty table.
+Vectors are scaled by their largest component before their norm is taken, so none overflows. Vectors of
+different length are never compared. Rows with one identifier are one vertex of the components, whatever their
+vectors; links are counted by row. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,14 +27,19 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import components, staged
 
-PASSES, BITS, WINDOW, BLOCK, COSINE = 14, 48, 64, 512, 0.98
+PASSES, BITS, WINDOW, BLOCK, COSINE = 14, 48, 64, 2048, 0.98
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by their largest component first."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length, scaled to length 1, in double precision."""
     n = len(column)
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
 
 
 def projected(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
@@ -150,8 +156,7 @@ def exact_links(members: DataFrame, cosine: float, block: int) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("k", "other"), "j": F.greatest("k", "other")})
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["v"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.stack(g["v"].to_numpy()).astype(np.float64))
         i, j = g["i"].iloc[0], g["j"].iloc[0]
         weight, left = g["weight"].to_numpy(), (g["k"] == i).to_numpy()
         if i == j:
@@ -177,13 +182,21 @@ def near_duplicates(
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False))
     rows = staged(rows.withColumns({"usable": usable, "k1": F.when(usable, F.xxhash64("label", "v")), "k2": F.when(usable, F.xxhash64(F.lit("2"), "v", "label"))}), "vectors")
-    classes = staged(rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
-    order = projected(classes.select("id", "label", "v"), passes, bits, seed).repartitionByRange("pass", "label", "dim", "key").sortWithinPartitions("pass", "label", "dim", "key", "id")
-    joined = staged(components(linked(order, window, cosine)), "components")
-    members = joined.join(classes, "id").select("component", "id", "weight", "v")
-    links = exact_links(members, cosine, block)
-    named = classes.select("k1", "k2", "id", "weight").join(joined, "id", "left").join(links, "id", "left").select("k1", "k2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(named, ["k1", "k2"], "left")
+    classes = rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("a"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # a number of its own, kept in the file
+    keys = ["pass", "label", "dim", "key", "id"]
+    order = projected(classes.select("id", "label", "v"), passes, bits, seed).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    vertex = classes.select("id", F.col("a").alias("of"))
+    pairs = staged(linked(order, window, cosine), "links")
+    edges = pairs.join(vertex, F.col("a") == F.col("id")).select("b", F.col("of").alias("x")).join(vertex, F.col("b") == F.col("id")).select("x", F.col("of").alias("y"))
+    named = rows.where("usable").select("k1", "k2", "id").distinct().join(classes.select("k1", "k2", "a"), ["k1", "k2"])
+    twins = named.groupBy("id").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("id")
+    united = staged(components(edges.toDF("a", "b").union(named.join(twins, "id", "left_semi").select(F.col("id").alias("a"), F.col("a").alias("b")))), "components")
+    placed = classes.join(united.select(F.col("id").alias("a"), "component"), "a")
+    links = exact_links(placed.select("component", "id", "weight", "v"), cosine, block)
+    ends = classes.select("k1", "k2", "id", "a", "weight").join(united.select(F.col("id").alias("a"), "component"), "a", "left").join(links, "id", "left")
+    ends = ends.select("k1", "k2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "a").alias("component_id"))
+    out = rows.join(ends, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

@@ -24,3 +24,44 @@ def test_windows_reach_over_partition_edges(spark):
     assert not whole <= {(min(p), max(p)) for p in within}
     # partitions that are shorter than the window
     assert pairs(1, 60) <= pairs(40, 60)
+
+
+def brute(rows, cosine=0.98):
+    links = {k: 0 for k in range(len(rows))}
+    up = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for label in {r[2] for r in rows}:
+        own = [k for k, r in enumerate(rows) if r[2] == label]
+        x = np.array([rows[k][1] for k in own])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for i, j in zip(*np.nonzero(np.triu(x @ x.T >= cosine, 1)), strict=True):
+            links[own[i]] += 1
+            links[own[j]] += 1
+            a, b = root(rows[own[i]][0]), root(rows[own[j]][0])
+            up[max(a, b)] = min(a, b)
+    return sorted((r[0], links[k], root(r[0])) for k, r in enumerate(rows))
+
+
+def answers(spark, rows, **more):
+    df = spark.createDataFrame([(i, [float(y) for y in x], label) for i, x, label in rows], "vec_id long, embedding array<double>, label int")
+    return sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, **more).collect())
+
+
+def test_large_and_repeated(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.0001e200], 1), (3, [1e-200, 1e-200], 2), (4, [3e-200, 3e-200], 2), (5, [1.0, 0.0], 3), (5, [0.0, 1.0], 3), (6, [0.001, 1.0], 3), (7, [1.0, 0.001], 3), (8, [1.0, 0.0], 4)]
+    assert answers(spark, rows) == answers(spark, rows[::-1]) == brute(rows)
+
+
+def test_recall_in_a_dense_label(spark):
+    """Vectors of one label, in loose and in tight groups and alone: every link of a brute-force search."""
+    rnd = np.random.default_rng(8)
+    centres = rnd.standard_normal((400, 32))
+    rows = [(n, centres[n % 400] + rnd.standard_normal(32) * (0.02 if n % 400 < 200 else 0.13), 1) for n in range(2400)]
+    got, want = answers(spark, rows, block=300), brute(rows)
+    assert sum(x[1] for x in got) >= 0.999 * sum(x[1] for x in want) > 3000
