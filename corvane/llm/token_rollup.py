@@ -5,13 +5,16 @@ changes becomes signed rows: an insert adds a document's counts, a delete takes
 both. The ledger keeps the signed rows by document, so that old counts are known without the old texts; the
 rolled-up deltas of each batch are kept beside it, so totals only ever read those.
 
-A batch is written under a name of its own and takes effect by one file, created only if absent, that
-names it. A batch identifier that is committed already changes nothing, whether it comes again after a
-lost driver, twice at a time, or with other rows; what an unfinished attempt wrote is never read.
+A batch is written under a name of its own and takes effect by one file that names it, the next version of the
+rollup, which is moved to its place only if none is there (so the folder's store must rename atomically). A
+writer that finds its version taken reads the ledger anew and takes the next. A batch identifier that is
+committed already changes nothing, whether it comes again after a lost driver, twice at a time, or with other
+rows; what an unfinished attempt wrote is never read.
 
 Null text counts as a document of no tokens. Null source or language is a group of its own. A row with a
 null identifier is an insert that can't be revised or deleted. Of several rows with one identifier in a
-batch, the last counts (the largest seq if given, then the largest counts), so repeated rows count once.
+batch, the last counts (the largest seq if given, then a delete, then the largest counts), so repeated rows
+count once.
 Deleting what isn't there changes nothing. Extra columns are ignored. An empty batch commits no rows.
 """
 
@@ -21,6 +24,7 @@ import base64
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,22 +65,21 @@ class Rollup:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _commits(self) -> dict[str, str]:
-        """By committed batch, its data folder: the commit file is named by the batch and holds the folder's name."""
+    def _commits(self) -> list[tuple[str, str]]:
+        """(batch, data folder) of each version, in order."""
         fs, path = self._path("commits")
-        found = {}
+        found = []
         for status in fs.listStatus(path) if fs.exists(path) else []:
             stream = fs.open(status.getPath())
-            found[bytes.fromhex(status.getPath().getName()[1:]).decode()] = stream.readUTF()
+            found.append((status.getPath().getName(), *stream.readUTF().split(" ")))
             stream.close()
-        return found
+        return [(bytes.fromhex(batch).decode(), data) for _, batch, data in sorted(found)]
 
     def committed(self, batch: str) -> bool:
-        fs, path = self._path(f"commits/c{batch.encode().hex()}")
-        return bool(fs.exists(path))
+        return any(b == batch for b, _ in self._commits())
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        found = [f"{self.folder}/data/{x}/{kind}" for x in self._commits().values()]
+        found = [f"{self.folder}/data/{x}/{kind}" for _, x in self._commits()]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
     def counted(self, rows: DataFrame) -> DataFrame:
@@ -110,28 +113,46 @@ class Rollup:
         data = f"{batch.encode().hex()}-{new_folder(self.spark, 'b').rpartition('-')[2]}"
         place = f"{self.folder}/data/{data}"
         new = self.counted(rows)
-        if not self._commits():
-            signed = new.where("not deleted").select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), "tokens")
-        else:
+        if self._commits():
             new.write.parquet(f"{place}/new")
             new = self.spark.read.parquet(f"{place}/new")
-            state = self._read("ledger", DELTA).where("doc_id is not null").join(new.select("doc_id").distinct(), "doc_id", "left_semi")
-            state = state.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
-            signed = new.where("not deleted").select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), "tokens").unionByName(state.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
-        signed.write.parquet(f"{place}/ledger")
-        ledger = self.spark.read.schema(DELTA).parquet(f"{place}/ledger")
-        ledger.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{place}/rolled")
-        return self._publish(batch, data)
-
-    def _publish(self, batch: str, data: str) -> bool:
-        """Write the commit file aside and rename it, which fails if another writer's is there."""
-        fs, final = self._path(f"commits/c{batch.encode().hex()}")
+        while True:
+            before = self._commits()
+            if any(b == batch for b, _ in before):
+                return False
+            attempt = f"{data}/{len(before)}"
+            self._signed(new, bool(before)).write.parquet(f"{self.folder}/data/{attempt}/ledger")
+            ledger = self.spark.read.schema(DELTA).parquet(f"{self.folder}/data/{attempt}/ledger")
+            ledger.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{self.folder}/data/{attempt}/rolled")
+            if self._publish(len(before), batch, attempt):
+                return True
+
+    def _signed(self, new: DataFrame, state: bool) -> DataFrame:
+        """The batch's signed rows: what it adds, and with a state what it takes back."""
+        added = new.where("not deleted").select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), "tokens")
+        if not state:
+            return added
+        old = self._read("ledger", DELTA).where("doc_id is not null").join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+        old = old.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
+        return added.unionByName(old.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
+
+    def _publish(self, version: int, batch: str, data: str) -> bool:
+        """Write the commit file aside and move it to its place; False if another writer's is there."""
+        fs, final = self._path(f"commits/{version:012d}")
         _, aside = self._path(f"data/{data}/commit")
         stream = fs.create(aside, True)
-        stream.writeUTF(data)
+        stream.writeUTF(f"{batch.encode().hex()} {data}")
         stream.close()
         fs.mkdirs(final.getParent())
-        return not fs.exists(final) and bool(fs.rename(aside, final))
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(final), self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
