@@ -7,7 +7,8 @@ The benchmark's windows are searched backward, all at once; occurrences are loca
 sampled position; the words of all occurrences in a document are merged into removal spans.
 
 Documents are never shuffled. The benchmark is sent out in blocks of at most BENCH_BYTES bytes of text (or a
-single item), one pass over the documents for each block, so neither driver nor workers hold more.
+single item), one pass over the documents for each block; between passes they are staged and the last block is
+taken back, so neither driver nor workers hold more.
 
 Words are compared by a 64-bit hash and their length. Null text has no words; an item without words has no
 window; an item of fewer than `width` words is a single window. Repeated items or documents each count.
@@ -28,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from corvane.llm.bpe_replay import blocks
 from corvane.llm.common import Words as AnyWords
-from corvane.llm.common import packed, unpacked, word_bytes
+from corvane.llm.common import packed, staged, unpacked, word_bytes
 
 SHARD_BYTES, BENCH_BYTES, SAMPLE = 8 << 20, 8 << 20, 8
 
@@ -204,12 +205,14 @@ def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: st
     docs = docs.drop(*(f.name for f in FOUND))
     names, schema = docs.columns, StructType([*docs.schema.fields, *FOUND])
     out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
-    some = False
+    sent = None
     for block in bench_blocks(benchmark):
-        some = True
+        if sent is not None:
+            out = staged(out, "found")
+            sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(block)
         out = out.mapInArrow(_step(sent, width, names, text_col), schema)
-    return out if some else out.mapInArrow(_step(None, width, names, text_col), schema)
+    return out if sent is not None else out.mapInArrow(_step(None, width, names, text_col), schema)
 
 
 _windows: dict = {}
