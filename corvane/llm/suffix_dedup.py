@@ -20,7 +20,8 @@ or further left in the same document). Matches never cross documents.
 Transform and common prefixes are rewritten in memory, block by block, not in files on local disks, which
 other executors would not see. Null text is empty. Null identifiers come first; rows that share an
 identifier count as one place each, ranges of one being checked against the other's bytes. Extra columns are
-kept by remove(). Texts are taken whole. An empty table gives an empty table.
+ignored. Texts are taken whole. An empty table gives an empty table. Of the parts of one context a task holds
+the different ones only.
 """
 
 from __future__ import annotations
@@ -311,26 +312,16 @@ def repeated_windows(parts: list[bytes], order: np.ndarray, length: int = LENGTH
 
 
 def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and place; whole keys are gathered until a block is full."""
+    """Rows come sorted by key, part and place: all but the first of equal parts go at once, others are gathered by whole keys until a block is full."""
     rows: list[tuple] = []
-    size, key = 0, None
+    out: list[tuple] = []
+    size, last = 0, (None, None)
 
-    def done() -> pa.RecordBatch | None:
-        kept, seen, out = [], set(), []
+    def done() -> None:
         counts: dict[int, int] = {}
         for r in rows:
             counts[r[5]] = counts.get(r[5], 0) + 1
-        for r in rows:
-            if counts[r[5]] > 1:
-                if (r[5], r[6]) in seen:
-                    out.append((*r[:4], r[4], r[4] + len(r[6])))
-                else:
-                    seen.add((r[5], r[6]))
-                    kept.append(r)
-        counts = {}
-        for r in kept:
-            counts[r[5]] = counts.get(r[5], 0) + 1
-        kept = [r for r in kept if counts[r[5]] > 1]
+        kept = [r for r in rows if counts[r[5]] > 1]
         # places in order: null identifiers first
         if kept:
             place = sorted(range(len(kept)), key=lambda n: (kept[n][0] is not None, kept[n][0] or 0, kept[n][1] + kept[n][4]))
@@ -338,23 +329,29 @@ def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order[place] = np.arange(len(kept))
             # two parts of the same document may overlap, and then the earlier start comes first as well
             for r, ranges in zip(kept, repeated_windows([r[6] for r in kept], order), strict=True):
-                out += [(*r[:4], r[4] + a, r[4] + b) for a, b in ranges]
-        if not out:
-            return None
+                out.extend((*r[:4], r[4] + a, r[4] + b) for a, b in ranges)
+
+    def made() -> pa.RecordBatch:
         types = (pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.int16(), pa.int16())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["id", "start", "size", "h", "lo", "hi"])
 
     for b in batches:
         for r in zip(*(b.column(c).to_pylist() for c in ("id", "start", "size", "h", "skip", "key", "part")), strict=True):
-            if size >= SORT_BYTES and r[5] != key:
-                if (made := done()) is not None:
-                    yield made
+            if (r[5], r[6]) == last:
+                out.append((*r[:4], r[4], r[4] + len(r[6])))
+                continue
+            if size >= SORT_BYTES and r[5] != last[0]:
+                done()
                 rows, size = [], 0
-            key = r[5]
+            last = (r[5], r[6])
             rows.append(r)
             size += len(r[6])
-    if rows and (made := done()) is not None:
-        yield made
+        if out:
+            yield made()
+            out = []
+    done()
+    if out:
+        yield made()
 
 
 def ranges(docs: DataFrame) -> DataFrame:
@@ -363,7 +360,7 @@ def ranges(docs: DataFrame) -> DataFrame:
     dealt = marked(docs, hot).repartition(F.col("mark"), F.col("salt")).sortWithinPartitions("mark", "salt", "h", "id", "start")
     kinds = staged(dealt.mapInArrow(split_kinds, "id long, start int, size short, anchor short, mark long, salt short, h long, whole boolean"), "kinds")
     kinds = staged(settled(kinds), "kinds") if hot else kinds
-    parts = cut_out(docs, kinds.where("not whole")).repartition(F.col("key")).sortWithinPartitions("key", "id", "start")
+    parts = cut_out(docs, kinds.where("not whole")).repartition(F.col("key")).sortWithinPartitions("key", "part", "id", "start")
     shared = parts.mapInArrow(sort_blocks, "id long, start int, size short, h long, lo short, hi short")
     whole = kinds.where("whole").select("id", "start", "size", "h", F.lit(0).cast("short").alias("lo"), F.col("size").alias("hi"))
     cuts = staged(whole.union(shared), "cuts")
