@@ -33,6 +33,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many identifiers (some tens of MB as a hash table) are sent to where the rows lie; more are joined by shuffling.
+IDS_TO_SEND = 1_000_000
+
+
+def sent_if_few(ids: DataFrame, tag: str) -> DataFrame:
+    """One column of identifiers, staged; marked for broadcast if their number, which is counted, is small."""
+    ids = staged(ids, tag)
+    return F.broadcast(ids) if ids.count() <= IDS_TO_SEND else ids
+
+
 def packed(docs: DataFrame, text_col: str) -> DataFrame:
     """row: every column but the text in one, so that no name can clash or trouble a function over Arrow; and the text."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]

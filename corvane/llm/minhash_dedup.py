@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe_replay import blocks
-from corvane.llm.common import Unions, Words, components, mix64, staged, word_bytes
+from corvane.llm.common import Unions, Words, components, mix64, sent_if_few, staged, word_bytes
 
 WIDTH, BANDS, ROWS, AGREE = 5, 32, 5, 90
 #: Classes of a bucket's part, of a part whose pairs are all listed, of a block.
@@ -337,9 +337,15 @@ def near_duplicates(
     spans = staged(forests(dealt, agree, small, share, of), "forests")
     tested = staged(spans.select("x", "y").distinct(), "pairs")
     reps = tested.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(classes.select("c", "a", "class"), "c")
-    # one text for each class, though its identifier be repeated with other texts
-    wanted = texts.join(reps.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).select("id", "text")
-    sets = staged(full_sets(wanted, width).join(reps.withColumnRenamed("a", "id"), ["id", "class"]).select("c", "shingles"), "sets")
+    reps = staged(reps, "classes")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(c, shingles) of classes (c, a, class): of one text each, though its identifier be repeated with other texts."""
+        ids = sent_if_few(some.select(F.col("a").alias("id")).distinct(), "ids")
+        own = texts.join(ids, "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).select("id", "text")
+        return full_sets(own, width).join(some.withColumnRenamed("a", "id"), ["id", "class"]).select("c", "shingles")
+
+    sets = staged(sets_of(reps), "sets")
     links = staged(confirm(tested, sets, share, of), "links")
     vertices = classes.select("c", "a")
 
@@ -361,9 +367,7 @@ def near_duplicates(
     if not moved.isEmpty():
         # a class that no forest had brings its set from its text
         late = moved.select("c").distinct().join(reps, "c", "left_anti").join(classes.select("c", "a", "class"), "c")
-        texts_of = texts.join(late.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).select("id", "text")
-        more_sets = full_sets(texts_of, width).join(late.withColumnRenamed("a", "id"), ["id", "class"]).select("c", "shingles")
-        more = staged(uniting(moved.join(sets.union(more_sets), "c"), agree, bands, share, of), "links")
+        more = staged(uniting(moved.join(sets.union(sets_of(late)), "c"), agree, bands, share, of), "links")
         joined = staged(components(edges.union(by_vertex(more))), "components")
     ends = classes.select("class", "a").join(joined.withColumnRenamed("id", "a"), "a", "left").select("class", F.coalesce("component", "a").alias("component"))
     out = sketch.drop("sig").join(ends, "class", "left")
