@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe_replay, decontaminate, line_dedup, minhash_dedup, quality_crf
-from corvane.llm.common import staged
+from corvane.llm.common import sent_if_few, staged
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -55,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
     found = staged(minhash_dedup.near_duplicates(docs).where("n_shingles > 0 and doc_id is not null"), "groups")
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = sent_if_few(found.where("not kept").select("doc_id").distinct(), "gone")
     out = docs.join(gone, "doc_id", "left_anti").select(*names)
     repeated = staged(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
