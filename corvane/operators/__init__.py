@@ -1,5 +1,5 @@
 """Operators of the knowledge base; importing this package registers their queries."""
 
-from corvane.operators import chunks, documents, events, facts, gates, graph, lifecycle, metrics, search, series
+from corvane.operators import chunks, documents, events, facts, gates, graph, identity, lifecycle, metrics, readiness, search, series, state
 
-__all__ = ["chunks", "documents", "events", "facts", "gates", "graph", "lifecycle", "metrics", "search", "series"]
+__all__ = ["chunks", "documents", "events", "facts", "gates", "graph", "identity", "lifecycle", "metrics", "readiness", "search", "series", "state"]

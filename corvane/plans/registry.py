@@ -23,3 +23,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def shared(name: str, tables: str, sql: str, doc: str) -> None:
+    """Register a query whose SQL both engines understand, over the named tables as views."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for table in tables.split():
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return spark.sql(sql)
+
+    run.__doc__, run.__name__ = doc, name
+    query(name, sql)(run)
