@@ -272,8 +272,8 @@ def approximate_tokens(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("tokens"))
 
 
-@query("udf_11_answer_fallback", SQL + "SELECT entity, string_agg(substr(statement, 1, 50), ' ' ORDER BY ordinal) AS answer FROM claims GROUP BY entity")
+@query("udf_11_answer_fallback", SQL + "SELECT entity, string_agg(substr(statement, 1, 200), ' ' ORDER BY ordinal) AS answer FROM claims GROUP BY entity")
 def answer_fallback(spark, sf_dir) -> DataFrame:
     """Without a model, an answer is the beginnings of its passages, in order; a conversation has few."""
-    parts = F.sort_array(F.collect_list(F.struct("ordinal", F.substring("statement", 1, 50).alias("s"))))
+    parts = F.sort_array(F.collect_list(F.struct("ordinal", F.substring("statement", 1, 200).alias("s"))))
     return claims(spark, sf_dir).groupBy("entity").agg(F.array_join(F.transform(parts, lambda x: x["s"]), " ").alias("answer"))

@@ -83,16 +83,37 @@ def contexts(spark, sf_dir) -> DataFrame:
     return order_pairs(spark, sf_dir).select("k", "n_a", context_disjoint(a, b).alias("disjoint"), partial_overlap(a, b).alias("partial"), unknown_dimension(a, b).alias("unknown"))
 
 
-@query("jn_19_validate_evidence", "SELECT item_id, count(doc_id) AS n_documents, count(doc_id) = 1 AS valid FROM benchmark LEFT JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id")
-def validate_evidence(spark, sf_dir) -> DataFrame:
-    """Quotes and the number of documents that contain them; exactly one makes a quote valid.
+def grams(text, n) -> Column:
+    """Runs of n words, joined by single spaces."""
+    words = F.split(text, "\\s+")
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " ")))
+
+
+def containing(docs: DataFrame, quotes: DataFrame, width: int = 5) -> DataFrame:
+    """(item_id, doc_id): documents (doc_id, text) that contain a quote (item_id, quote).
 
-    The quotes are sent out only below a checked size; larger sets are dealt in blocks by Spark's own plan.
+    A quote that occurs has its inner words as words of the text, so both meet in an equi-join on a run of up to
+    width of them, and the text is searched only then. Quotes of one or two words have none and are searched
+    in every text; they are the only ones for which all texts are looked through.
     """
+    inner = F.size(F.split("quote", "\\s+")) - 2
+    q = quotes.where("quote <> ''").withColumn("n", F.least(inner, F.lit(width)))
+    keyed = q.where("n > 0").withColumn("key", F.get(grams(F.col("quote"), F.col("n")), F.lit(1))).select("item_id", "quote", "n", "key")
+    widths = sorted(r[0] for r in keyed.select("n").distinct().collect())  # width numbers at most
+    short = q.where("n <= 0").select("item_id", "quote")
+    found = docs.join(short, F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    for n in widths:
+        runs = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("text"), F.lit(n)))).alias("key"))
+        near = runs.join(keyed.where(F.col("n") == n), "key").select("doc_id", "item_id", "quote")
+        found = found.union(near.join(docs, "doc_id").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id"))
+    return found.distinct()
+
+
+@query("jn_19_validate_evidence", "SELECT item_id, count(doc_id) AS n_documents, count(doc_id) = 1 AS valid FROM benchmark LEFT JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id")
+def validate_evidence(spark, sf_dir) -> DataFrame:
+    """Quotes and the number of documents that contain them; exactly one makes a quote valid."""
     quotes = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    small = quotes.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
-    side = F.broadcast(quotes) if small < 8 << 20 else quotes
-    hits = read(spark, sf_dir, "documents").select("doc_id", "text").join(side, F.col("text").contains(F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = containing(read(spark, sf_dir, "documents").select("doc_id", "text"), quotes).groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"), (F.coalesce("n", F.lit(0)) == 1).alias("valid"))
 
 
@@ -348,7 +369,10 @@ def pass_rate(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy("role").agg(F.round(F.avg((F.length("text") >= 100).cast("int")), 6).alias("rate"))
 
 
-@query("agg_23_glossary", SQL + "SELECT lower(string_split(title, ' ')[1]) AS term, array_to_string(list_sort(list(DISTINCT doc_id))[1:20], ',') AS ids FROM wiki GROUP BY 1")
+@query("agg_23_glossary", SQL + "SELECT term, count(*) AS n, array_to_string(list_sort(list(doc_id) FILTER (WHERE k <= 20)), ',') AS ids FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS k FROM (SELECT DISTINCT lower(string_split(title, ' ')[1]) AS term, doc_id FROM wiki)) GROUP BY term")
 def glossary(spark, sf_dir) -> DataFrame:
-    """Term to the first twenty ids; the report is cut where it is shown, the set is the term's."""
-    return wiki(spark, sf_dir).groupBy(F.lower(F.split("title", " ")[0]).alias("term")).agg(F.array_join(F.slice(F.sort_array(F.collect_set("doc_id")), 1, 20).cast("array<string>"), ",").alias("ids"))
+    """Term, its number of pages and the first twenty of them (a top list); no more than those are gathered."""
+    t = wiki(spark, sf_dir).select(F.lower(F.split("title", " ")[0]).alias("term"), "doc_id").distinct()
+    counts = t.groupBy("term").agg(F.count("*").alias("n"))
+    first = t.withColumn("k", F.row_number().over(W.partitionBy("term").orderBy("doc_id"))).where("k <= 20").groupBy("term").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
+    return counts.join(first, counts["term"].eqNullSafe(first["term"])).select(counts["term"], "n", "ids")

@@ -82,11 +82,11 @@ def duplicate_rate(spark, sf_dir) -> DataFrame:
     return h.agg(F.sum(F.col("n") - 1).alias("duplicates"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("rate"))
 
 
-@query("agg_20_knowledge_units", "SELECT source, array_to_string(list_sort(list(doc_id)), ',') AS claim_ids, round(avg(n_chars), 6) AS confidence, max(n_chars) AS latest FROM documents WHERE doc_id % 50 = 0 GROUP BY source")
+@query("agg_20_knowledge_units", "SELECT source, lang, count(*) AS n_claims, min(doc_id) AS first, max(doc_id) AS last, round(avg(n_chars), 6) AS confidence, max(n_chars) AS latest FROM documents GROUP BY source, lang")
 def knowledge_units(spark, sf_dir) -> DataFrame:
-    """By source the sorted ids of its claims, their mean and their largest value; a unit has few claims."""
-    claims = read(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    return claims.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("claim_ids"), F.round(F.avg("n_chars"), 6).alias("confidence"), F.max("n_chars").alias("latest"))
+    """By source and language its claims' number, first and last, their mean and their largest value."""
+    g = read(spark, sf_dir, "documents").groupBy("source", "lang")
+    return g.agg(F.count("*").alias("n_claims"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.round(F.avg("n_chars"), 6).alias("confidence"), F.max("n_chars").alias("latest"))
 
 
 BUCKETS = (10, 50, 100, 500)

@@ -108,13 +108,13 @@ def rerank(results: DataFrame, question: str) -> DataFrame:
 
 @query(
     "win_02_rerank",
-    """WITH r AS (SELECT doc_id AS id, 'keyword' AS source, (doc_id * 31 % 100) / 100.0::DOUBLE AS score, substr(text, 1, 200) AS text FROM documents UNION ALL SELECT doc_id, 'vector', (doc_id * 17 % 100) / 100.0::DOUBLE, substr(text, 1, 200) FROM documents WHERE doc_id % 2 = 0),
+    """WITH r AS (SELECT doc_id AS id, 'keyword' AS source, (doc_id * 31 % 100) / 100.0::DOUBLE AS score, text FROM documents UNION ALL SELECT doc_id, 'vector', (doc_id * 17 % 100) / 100.0::DOUBLE, text FROM documents WHERE doc_id % 2 = 0),
     p AS (SELECT id, max(score) AS s, any_value(text) AS text, sum(CASE source WHEN 'vector' THEN 0.5 ELSE 0.3 END)::DOUBLE AS w, count(*) AS n, string_agg(source, ',' ORDER BY source) AS sources FROM r GROUP BY id)
     SELECT id, sources, round(least(1.0, least(1.0, greatest(0.0, s * w + 0.1 * (n - 1))) + 0.1 * (contains(lower(text), 'the')::INT + contains(lower(text), 'with')::INT) / 2.0), 6)::DOUBLE AS score FROM p""",
 )
 def rerank_query(spark, sf_dir) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    part = lambda df, m, s: df.select(F.col("doc_id").alias("id"), F.lit(s).alias("source"), (F.col("doc_id") * m % 100 / 100.0).alias("score"), F.substring("text", 1, 200).alias("text"))
+    part = lambda df, m, s: df.select(F.col("doc_id").alias("id"), F.lit(s).alias("source"), (F.col("doc_id") * m % 100 / 100.0).alias("score"), "text")
     return rerank(part(d, 31, "keyword").union(part(d.where("doc_id % 2 = 0"), 17, "vector")), "the with")
 
 
@@ -141,13 +141,20 @@ def similar_statements(statements: DataFrame, threshold: float, group: str = "en
 
 
 TOKENS_SQL = "list_distinct(regexp_extract_all(lower(statement), '[\\p{L}\\p{N}_]+'))"
-PAIRS_SQL = f", t AS (SELECT id, entity, statement, {TOKENS_SQL} AS t FROM claims), p AS (SELECT x.entity, x.id AS a, y.id AS b, x.statement AS sa, y.statement AS sb, len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) AS similarity FROM t x JOIN t y ON x.entity = y.entity AND x.id < y.id WHERE len(x.t) > 0 AND len(y.t) > 0)"
+PAIRS_SQL = f", t AS (SELECT id, entity, statement, {TOKENS_SQL} AS t FROM (SELECT id, entity, statement FROM claims UNION ALL SELECT id || 'n', entity, 'not ' || substr(statement, 1, length(statement) // 2) FROM claims)), p AS (SELECT x.entity, x.id AS a, y.id AS b, x.statement AS sa, y.statement AS sb, len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) AS similarity FROM t x JOIN t y ON x.entity = y.entity AND x.id < y.id WHERE len(x.t) > 0 AND len(y.t) > 0)"
+
+
+def disputed(spark, sf_dir) -> DataFrame:
+    """Claims, and each one's first half denied, so that there is something to find."""
+    c = claims(spark, sf_dir).select("id", "entity", "statement")
+    half = F.substring("statement", F.lit(1), F.floor(F.length("statement") / 2).cast("int"))
+    return c.union(c.select(F.concat("id", F.lit("n")), "entity", F.concat(F.lit("not "), half)))
 
 
 @query("jn_09_similar_claims", SQL + PAIRS_SQL + " SELECT entity, a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.25")
 def similar_claims(spark, sf_dir) -> DataFrame:
     """Claim pairs of one conversation with a word Jaccard of 0.25 or more."""
-    return similar_statements(claims(spark, sf_dir), 0.25).select("entity", "a", "b", F.round("similarity", 6).alias("similarity"))
+    return similar_statements(disputed(spark, sf_dir), 0.25).select("entity", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("str_07_tokens", SQL + f"SELECT id, len({TOKENS_SQL}) AS n_tokens FROM claims")
@@ -186,7 +193,7 @@ def conflicts(statements: DataFrame, threshold: float = 0.25) -> DataFrame:
     SQL + PAIRS_SQL + f", c AS (SELECT *, {NEGATED_SQL.format('sa')} AS na, {NEGATED_SQL.format('sb')} AS nb FROM p WHERE similarity >= 0.25 AND similarity <= 0.9 AND lower(trim(sa)) <> lower(trim(sb))), k AS (SELECT *, CASE WHEN na <> nb THEN 'contradiction' WHEN na AND nb THEN 'inconsistency' WHEN similarity > 0.5 THEN 'disagreement' END AS conflict_type FROM c) SELECT entity, a, b, conflict_type, CASE conflict_type WHEN 'contradiction' THEN 0.9 WHEN 'inconsistency' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence FROM k WHERE conflict_type IS NOT NULL",
 )
 def conflicts_query(spark, sf_dir) -> DataFrame:
-    return conflicts(claims(spark, sf_dir))
+    return conflicts(disputed(spark, sf_dir))
 
 
 @query("str_17_overlap_boost", SQL + "SELECT id, round(0.1 * (contains(lower(title || ' ' || body), 'the')::INT + contains(lower(title || ' ' || body), 'this')::INT + contains(lower(title || ' ' || body), 'zzz')::INT) / 3, 6)::DOUBLE AS boost FROM wiki")

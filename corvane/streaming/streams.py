@@ -53,21 +53,22 @@ def breaker(events: DataFrame, failures: int = FAILURES, pause_s: int = PAUSE_S)
     """(user_id, event_id, state): the circuit's state when each event comes.
 
     After so many failures in a row the circuit is open; after the pause one attempt is let through
-    (half open), which closes it or opens it anew. State is a counter and a time for each user.
+    (half open), which closes it or opens it anew. State is a counter and a time for each user. The events of a
+    user within one trigger are put in order of time, so triggers should be bounded (maxFilesPerTrigger).
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         count, opened = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            b = b.sort_values(["at", "event_id"])
-            out = []
-            for event, kind, at in zip(b["event_id"], b["event_type"], b["at"].astype("int64") / 1e9, strict=True):
-                now = "closed" if count < failures else "half_open" if at - opened >= pause_s else "open"
-                out.append(now)
-                if now != "open":
-                    count = count + 1 if kind == "error" else 0
-                    opened = at if count >= failures else opened
-            yield pd.DataFrame({"user_id": key[0], "event_id": b["event_id"], "state": out})
+        # a trigger's events of a user come in several batches without order
+        b = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for kind, at in zip(b["event_type"], b["at"].astype("int64") / 1e9, strict=True):
+            now = "closed" if count < failures else "half_open" if at - opened >= pause_s else "open"
+            out.append(now)
+            if now != "open":
+                count = count + 1 if kind == "error" else 0
+                opened = at if count >= failures else opened
+        yield pd.DataFrame({"user_id": key[0], "event_id": b["event_id"], "state": out})
         state.update((count, opened))
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string", "count long, opened double", "append", "NoTimeout")
