@@ -83,9 +83,8 @@ def contexts(spark, sf_dir) -> DataFrame:
     return order_pairs(spark, sf_dir).select("k", "n_a", context_disjoint(a, b).alias("disjoint"), partial_overlap(a, b).alias("partial"), unknown_dimension(a, b).alias("unknown"))
 
 
-def grams(text, n) -> Column:
-    """Runs of n words, joined by single spaces."""
-    words = F.split(text, "\\s+")
+def grams(words, n) -> Column:
+    """Runs of n of a column of words, joined by single spaces."""
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " ")))
 
 
@@ -98,12 +97,13 @@ def containing(docs: DataFrame, quotes: DataFrame, width: int = 5) -> DataFrame:
     """
     inner = F.size(F.split("quote", "\\s+")) - 2
     q = quotes.where("quote <> ''").withColumn("n", F.least(inner, F.lit(width)))
-    keyed = q.where("n > 0").withColumn("key", F.get(grams(F.col("quote"), F.col("n")), F.lit(1))).select("item_id", "quote", "n", "key")
+    keyed = q.where("n > 0").withColumn("key", F.array_join(F.slice(F.split("quote", "\\s+"), F.lit(2), F.col("n")), " ")).select("item_id", "quote", "n", "key")
     widths = sorted(r[0] for r in keyed.select("n").distinct().collect())  # width numbers at most
     short = q.where("n <= 0").select("item_id", "quote")
     found = docs.join(short, F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    words = docs.select("doc_id", F.split("text", "\\s+").alias("words"))
     for n in widths:
-        runs = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("text"), F.lit(n)))).alias("key"))
+        runs = words.select("doc_id", F.explode(F.array_distinct(grams(F.col("words"), F.lit(n)))).alias("key"))
         near = runs.join(keyed.where(F.col("n") == n), "key").select("doc_id", "item_id", "quote")
         found = found.union(near.join(docs, "doc_id").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id"))
     return found.distinct()
