@@ -75,3 +75,27 @@ def test_misread_chinese_is_repaired():
 def test_decoding_prefers_utf8():
     assert S.decoded("é plain".encode()) == "é plain" and S.decoded(None) == ""
     assert S.decoded("知识库的来源".encode("gbk")) == "知识库的来源"
+
+
+def test_answers_are_mended():
+    from corvane.operators.identity import mended
+
+    assert mended('```json\n{"b": 1, "a": [1, 2]}\n```') == ("valid", False, '{"a":[1,2],"b":1}')
+    assert mended('{"a": 1,}') == ("repaired", False, '{"a":1}')
+    assert mended('x {"a": "line\nbreak", "b": [1, {"c": "d') == ("repaired", True, '{"a":"line\\nbreak","b":[1,{"c":"d"}]}')
+    assert mended('{"a": 1, "b": ')[0::2] == ("repaired", '{"a":1}')
+    assert mended("no answer") == ("no_json", False, None) and mended(None)[0] == "no_json" and mended("")[0] == "no_json"
+
+
+def test_chunks_of_all_sizes_keep_every_paragraph():
+    rnd = random.Random(6)
+    for _ in range(60):
+        words = ["w" * rnd.randint(1, 9) + str(k) for k in range(rnd.randint(1, 20))]
+        text = "\n\n".join(words)
+        assert [w for w in words if not any(w in c for c in C.markdown_chunks(text, 40))] == []
+        fine = C.budget_chunks(text, 10)
+        assert "".join(fine).replace("\n", "") == "".join(words) and all(len(c) // 2 <= 10 for c in fine)
+
+
+def test_large_pages_are_chapters_of_their_own():
+    assert C.packed_blocks([5, 50, 5, 5], 12, alone=True) == [0, 1, 2, 2]
