@@ -163,6 +163,13 @@ def replayer(vocabulary: str, pattern: str) -> MergeReplay:
     return _made[vocabulary, pattern]
 
 
+def give_back() -> None:
+    """A worker serves other tasks later: what one has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about limit bytes, one row at least."""
     for batch in batches:
@@ -172,10 +179,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, side="right")))
             yield batch.slice(i, j - i)
             i = j
-    # a worker serves other tasks later: what this one has freed goes back to the system
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    give_back()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,16 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.bpe_replay import blocks
+from corvane.llm.bpe_replay import blocks, give_back
 from corvane.llm.common import Unions, Words, components, mix64, sent_if_few, staged, word_bytes
 
 WIDTH, BANDS, ROWS, AGREE = 5, 32, 5, 90
 #: Classes of a bucket's part, of a part whose pairs are all listed, of a block.
 PART, SMALL, BLOCK = 128, 4, 512
+#: Rows that are looked at at a time.
+SLICE = 2048
 SHARE, OF = 75, 100
 #: All but white space, that is but 0x20 and 0x09-0x0D.
 LETTERS = word_bytes([(0, 9), (14, 32), (33, 256)])
@@ -169,17 +172,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         k = np.stack([t.column(c).to_numpy() for c in keys])
         return np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([*held, b])
-        at = cut(t)
-        if len(at) > 2:
-            yield t.slice(0, at[-2]).combine_chunks(), at[:-1]
-        held = t.slice(at[-2]).combine_chunks().to_batches()
+    for whole in batches:
+        # small slices, so that a copy of one is small as well, however long the rows are
+        for k in range(0, whole.num_rows, SLICE):
+            t = pa.Table.from_batches([*held, whole.slice(k, SLICE)])
+            at = cut(t)
+            if len(at) > 2:
+                yield t.slice(0, at[-2]).combine_chunks(), at[:-1]
+            held = t.slice(at[-2]).combine_chunks().to_batches()
     if held:
         t = pa.Table.from_batches(held)
         yield t, cut(t)
+    del held
+    give_back()
 
 
 def agreements(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -283,9 +288,10 @@ def uniting(dealt: DataFrame, agree: int, bands: int, share: int, of: int) -> Da
         for t, at in whole_groups(batches, BLOCK_KEYS):
             links, c, now = [], t.column("c").to_numpy(), t.column("now").to_numpy()
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                sets = t.column("shingles").slice(s, e - s).to_pylist()
-                ends = np.cumsum([0, *map(len, sets)])
-                names, every = np.unique(np.concatenate([np.asarray(x, np.int64) for x in sets]), return_inverse=True)
+                sets = t.column("shingles").slice(s, e - s)
+                size = pc.list_value_length(sets).to_numpy()
+                ends = np.concatenate([[0], np.cumsum(size)])
+                names, every = np.unique(pc.list_flatten(sets).to_numpy(), return_inverse=True)
                 group = Unions()
                 for x, ys in partners(t, s, e, agree, bands, share, of):
                     inside = np.zeros(len(names), bool)
@@ -293,7 +299,7 @@ def uniting(dealt: DataFrame, agree: int, bands: int, share: int, of: int) -> Da
                     for y in ys.tolist():
                         if (a := group.root(int(now[s + x]))) != (b := group.root(int(now[s + y]))):
                             common = np.count_nonzero(inside[every[ends[y] : ends[y + 1]]])
-                            if of * common >= share * (len(sets[x]) + len(sets[y]) - common):
+                            if of * common >= share * (size[x] + size[y] - common):
                                 group.up[a] = b
                                 links.append((int(c[s + x]), int(c[s + y])))
             x, y = np.array(links, np.int64).reshape(-1, 2).T
