@@ -170,8 +170,14 @@ def give_back() -> None:
         trim(0)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts hold about limit bytes, one row at least."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, replaying: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts hold about limit bytes, one row at least.
+
+    A worker that turns from replaying to other work first forgets the words that it has replayed.
+    """
+    if _made and not replaying:
+        _made.clear()
+        give_back()
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         i = 0
@@ -187,7 +193,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = replayer(vocabulary, pattern)
-        for b in blocks(batches):
+        for b in blocks(batches, replaying=True):
             got = bpe.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], names=["id", "ids"])
 
@@ -214,7 +220,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, *, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = replayer(vocabulary, pattern)
-        for b in blocks(batches):
+        for b in blocks(batches, replaying=True):
             texts = b.column("text").to_pylist()
             ids = bpe.encode([t or "" for t in texts])
             back = [None if t is None else bpe.decode(x).decode() for t, x in zip(texts, ids, strict=True)]
@@ -232,7 +238,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = replayer(vocabulary, pattern)
-        for b in blocks(batches):
+        for b in blocks(batches, replaying=True):
             got = bpe.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [
