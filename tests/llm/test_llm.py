@@ -464,7 +464,7 @@ def test_main_text_of_marked_articles(spark):
     df = spark.createDataFrame(p, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     got = by_id(html_extract.extract(df), "page_id", "text")
     assert got[1][0] == "Head & line\nOne two three\nFour five, six\nseven"
-    assert got[2][0] == "" and got[3][0] == "plain\ntext <3 é" and got[4][0] == got[5][0] == "" and got[7][0] == "just text"
+    assert got[2][0] == "no article" and got[3][0] == "plain\ntext <3 é" and got[4][0] == got[5][0] == "" and got[7][0] == "just text"
     assert html_extract.extract(df.where("false")).count() == 0
 
 
