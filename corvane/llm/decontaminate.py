@@ -200,19 +200,22 @@ def bench_blocks(benchmark: DataFrame, limit: int = BENCH_BYTES) -> Iterator[lis
 FOUND = [StructField("n_words", LongType()), StructField("hits", ArrayType(IntegerType())), StructField("items", ArrayType(LongType()))]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text") -> DataFrame:
-    """docs with n_words, hits (begin and end byte of each maximal run of hit words, alternating) and items, which replace columns of those names."""
+def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text", then=None, schema: StructType | str | None = None) -> DataFrame:
+    """docs with n_words, hits (begin and end byte of each maximal run of hit words, alternating) and items, which replace columns of those names.
+
+    then: a function over those batches, which gives rows of schema instead; it runs in the worker that finds the last block.
+    """
     docs = docs.drop(*(f.name for f in FOUND))
-    names, schema = docs.columns, StructType([*docs.schema.fields, *FOUND])
+    names, found = docs.columns, StructType([*docs.schema.fields, *FOUND])
     out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
-    sent = None
+    sent, step = None, _step(None, width, names, text_col)
     for block in bench_blocks(benchmark):
         if sent is not None:
-            out = staged(out, "found")
+            out = staged(out.mapInArrow(step, found), "found")
             sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_step(sent, width, names, text_col), schema)
-    return out if sent is not None else out.mapInArrow(_step(None, width, names, text_col), schema)
+        step = _step(sent, width, names, text_col)
+    return out.mapInArrow(step, found) if then is None else out.mapInArrow(lambda batches: then(step(batches)), schema)
 
 
 _windows: dict = {}
@@ -258,7 +261,6 @@ def _step(sent, width: int, names: list[str], text_col: str):
 def remove(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: str = "text") -> DataFrame:
     """docs with every hit span cut out of the text; rows without a hit are as they were."""
     rows = packed(docs, text_col)
-    found = find(rows, benchmark, width=width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,7 +272,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col:
                     texts[n] = b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True)).decode()
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return unpacked(found.mapInArrow(run, rows.schema), docs.columns, text_col)
+    return unpacked(find(rows, benchmark, width=width, then=run, schema=rows.schema), docs.columns, text_col)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:
@@ -293,7 +295,7 @@ def digests(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFr
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return find(kept, benchmark, width=width).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return find(kept, benchmark, width=width, then=run, schema="doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
