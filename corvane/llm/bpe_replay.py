@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from corvane.llm.common import packed, unpacked
+from corvane.llm.common import in_batches, packed, unpacked
 
 #: Text bytes that one block gathers before its merges are replayed; words kept by a worker at most.
 BLOCK_BYTES, WORDS_KEPT = 3 << 20, 300_000
@@ -197,7 +197,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col:
             got = bpe.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], names=["id", "ids"])
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, f"id {dict(kept.dtypes)['id']}, ids binary").withColumnRenamed("id", id_col)
 
 
@@ -250,7 +250,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,8 +46,21 @@ def sent_if_few(ids: DataFrame, tag: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= IDS_TO_SEND else ids
 
 
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say: 10,000 whole texts may be any size.
+BATCH_BYTES = "8m"
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose rows go to Python workers in batches of about BATCH_BYTES, in this session, unless it has a bound of its own."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return docs
+
+
 def packed(docs: DataFrame, text_col: str) -> DataFrame:
     """row: every column but the text in one, so that no name can clash or trouble a function over Arrow; and the text."""
+    docs = in_batches(docs)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return docs.select(F.struct(*(rest or [F.lit(True).alias("none")])).alias("row"), F.col(f"`{text_col}`").alias("text"))
 

@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from corvane.llm.bpe_replay import blocks
 from corvane.llm.common import Words as AnyWords
-from corvane.llm.common import packed, staged, unpacked, word_bytes
+from corvane.llm.common import in_batches, packed, staged, unpacked, word_bytes
 
 SHARD_BYTES, BENCH_BYTES, SAMPLE = 8 << 20, 8 << 20, 8
 
@@ -205,7 +205,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text_col: st
 
     then: a function over those batches, which gives rows of schema instead; it runs in the worker that finds the last block.
     """
-    docs = docs.drop(*(f.name for f in FOUND))
+    docs = in_batches(docs.drop(*(f.name for f in FOUND)))
     names, found = docs.columns, StructType([*docs.schema.fields, *FOUND])
     out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
     sent, step = None, _step(None, width, names, text_col)

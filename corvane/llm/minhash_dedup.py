@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe_replay import blocks, give_back
-from corvane.llm.common import Unions, Words, components, mix64, sent_if_few, staged, word_bytes
+from corvane.llm.common import Unions, Words, components, in_batches, mix64, sent_if_few, staged, word_bytes
 
 WIDTH, BANDS, ROWS, AGREE = 5, 32, 5, 90
 #: Classes of a bucket's part, of a part whose pairs are all listed, of a block.
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, width: int, size: int) -> DataFrame:
                 names=["id", "n_shingles", "class", "sig"],
             )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, class binary, sig binary")
+    return in_batches(docs).mapInArrow(run, "id long, n_shingles long, class binary, sig binary")
 
 
 def in_buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
