@@ -77,6 +77,16 @@ def test_decoding_prefers_utf8():
     assert S.decoded("知识库的来源".encode("gbk")) == "知识库的来源"
 
 
+@pytest.mark.parametrize("text", ["é", "été", "où", "Ö", "È éé éê.", "Привет мир", "Ελληνικά", "שלום", "茅t茅", "知", ""])
+def test_valid_utf8_is_not_given_up(text):
+    """Read as GBK, the bytes of most of these are mainly Chinese."""
+    assert S.decoded(text.encode()) == text
+
+
+def test_other_bytes_are_decoded_by_a_fallback():
+    assert S.decoded("繁體中文內容測試".encode("big5")) == "繁體中文內容測試" and S.decoded(b"\xff\xfe") == "\ufffd\ufffd"
+
+
 def test_answers_are_mended():
     from corvane.operators.identity import mended
 

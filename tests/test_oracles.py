@@ -36,3 +36,13 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_decoding_of_odd_texts_equals_its_sql(spark, tmp_path):
+    texts = ("é", "où", "È éé éê.", "Привет мир", "ωд", "知", "😀 é", " é\x00é", "\ufeffé", "é\r\né", "", None)
+    odd = [(k, x) for k, x in enumerate(x for x in texts for _ in range(2))] + [(None, "é"), (None, None), (-3, "é"), (-4, "é"), (2**63 - 2, None)]
+    spark.createDataFrame(odd, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = QUERIES["src_02_decode"](spark, str(tmp_path)).select("doc_id", "hash").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(ORACLES["src_02_decode"]).fetchall(), key=str)
